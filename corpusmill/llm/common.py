@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import pickle
 import tempfile
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,12 @@ def pages_with_host(pages: DataFrame, meta: DataFrame | None, keep: list[str]) -
     return rows.join(first, F.col("page_id") == F.col("_meta_page"), "left").select(
         *keep, F.coalesce(F.col("_meta_host"), F.col("_url_host"), F.lit("")).alias("host")
     )
+
+
+def send(spark: SparkSession, model: Any) -> Broadcast:
+    """Broadcast of a model of bounded size, with the code of its class; receive() opens it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def receive(sent: Broadcast) -> Any:
+    return pickle.loads(sent.value)
