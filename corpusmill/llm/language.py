@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import receive, send, table
 
 #: N-grams kept a language, and the penalty of a missing one.
-PROFILE = 400
+PROFILE = 1000
 #: Sample rows and characters a row that profiles may be fitted on (lang_samples has 132 short rows).
 SAMPLE_ROWS, SAMPLE_CHARS = 100_000, 10_000
 MIN_LETTERS = 40
