@@ -119,7 +119,7 @@ class Page:
     """Non-blank lines of a page: line_no, trimmed text, label; kind: 'code', 'table', 'head', 'item', 'text'.
 
     reason: 'repeat', 'cue' or 'trail' for furniture by its own evidence, 'links' for lines of links that are
-    not repeated, 'prose' for article text by rule, '' for the rest. block: number of the run of lines between blank ones.
+    not repeated, 'above' for prose above the title, 'prose' for article text by rule, '' for the rest. block: number of the run of lines between blank ones.
     """
 
     number: list[int] = field(default_factory=list)
@@ -195,7 +195,7 @@ def label_lines(markdown: str, repeated: Callable[[str], bool]) -> Page:
     top = next((k for k in range(n) if kind[k] == "head" and text[k].startswith("# ")), 0)
     for k in range(top):
         if kind[k] == "text" and label[k] == ARTICLE and len(text[k]) <= LONG:
-            label[k] = UNSURE
+            label[k], reason[k] = UNSURE, "above"
     # A heading or short label right before a list of links to pages belongs to the list.
     title = next((k for k in range(n) if kind[k] == "head"), -1)
     for k in range(n - 1):

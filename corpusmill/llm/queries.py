@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("spam", "blocks", "repeated_lines", "lookalike", "residue", "chunking", "packing", "mixing", "language")
+_MODULES = ("spam", "main_text", "repeated_lines", "lookalike", "residue", "chunking", "packing", "mixing", "language")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
