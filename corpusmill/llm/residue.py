@@ -193,7 +193,7 @@ def fit(pages: DataFrame, sample: DataFrame | None = None) -> NaiveBayes:
     """Model of pages (page_id, markdown, title, host); see FIT_RECORDS. Pages without any trusted record give a model that finds nothing."""
     n = pages.count()
     share = min(1.0, FIT_RECORDS / max(1, n))
-    chosen = pages.select("page_id", "markdown", "title").where(F.col("markdown").isNotNull() & (F.length("markdown") <= FIT_CHARS) & (F.abs(F.xxhash64("page_id", F.lit("fit"))) < F.lit(int(share * (2**63 - 1)))))
+    chosen = pages.select("page_id", "markdown", "title").where(F.col("markdown").isNotNull() & (F.length("markdown") <= FIT_CHARS) & (F.pmod(F.xxhash64("page_id", F.lit("fit")), F.lit(2**30)) < F.lit(int(share * 2**30))))
     rows = []
     none = Repeats(np.zeros(0, dtype=np.int64)).of("", None)
     for r in chosen.orderBy("page_id", "markdown").collect():
