@@ -42,17 +42,16 @@ FUNCTION_WORDS = frozenset(
     ).split()
 )
 
-# Phrases of consent, legal, date, share, feedback and newsletter lines.
-CUES = re.compile(
-    r"©|\(c\) \d|all rights reserved|tous droits réservés|todos los derechos reservados|alle rechte vorbehalten|tutti i diritti|todos os direitos|alle rechten voorbehouden"
-    r"|\bcookies?\b|terms of use|privacy policy|privacy centre|mentions légales|aviso legal|impressum|datenschutz"
-    r"|newsletter|unsubscribe|subscribe to|abonnez-vous|suscríbase|abonnieren sie|rundbrief|straight to your inbox"
-    r"|last updated|last modified|mis à jour|actualizado hace|zuletzt geändert|reading time|lesezeit|lecture de \d|lectura de \d"
-    r"|share this page|partager cette page|compartir esta página|seite teilen|print this (?:page|article)|send it to a colleague"
-    r"|was this page helpful|cette page vous a-t-elle|le ha servido esta página|war diese seite hilfreich"
-    r"|found a mistake|une erreur \?|ha visto un error|fehler gefunden|without (?:any )?warranty|sans garantie|sin garantía|ohne gewähr|not liable|haftet nicht",
-    re.I,
-)
+# Phrases of consent, legal, date, share, feedback and newsletter lines, in lower case.
+CUES = (
+    "©", "all rights reserved", "tous droits réservés", "todos los derechos reservados", "alle rechte vorbehalten", "tutti i diritti riservati", "todos os direitos reservados",
+    "cookie", "terms of use", "privacy policy", "privacy centre", "mentions légales", "aviso legal", "impressum", "datenschutz",
+    "newsletter", "unsubscribe", "subscribe to", "abonnez-vous", "suscríbase", "abonnieren sie", "rundbrief", "straight to your inbox",
+    "last updated", "last modified", "mis à jour il y a", "actualizado hace", "zuletzt geändert", "reading time", "lesezeit", "minutes de lecture", "minutos de lectura",
+    "share this page", "partager cette page", "compartir esta página", "seite teilen", "print this page", "print this article", "send it to a colleague",
+    "was this page helpful", "cette page vous a-t-elle", "le ha servido esta página", "war diese seite hilfreich", "found a mistake", "une erreur ?", "ha visto un error", "fehler gefunden",
+    "without warranty", "without any warranty", "sans garantie", "sin garantía", "ohne gewähr", "not liable", "haftet nicht",
+)
 #: Longest line that a cue alone decides.
 CUE_CHARS = 180
 #: From this length on a block that reads like prose is article text wherever it stands.
@@ -69,9 +68,10 @@ _FILE = re.compile(r"\.(?:pdf|zip|tar|gz|tgz|docx?|xlsx?|pptx?|csv|bin|iso|exe|m
 _TRAIL = re.compile(r" (?:>|»|›|→) ")
 _KANA = re.compile(r"[぀-ヿ]")
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII_WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 _SPACES = re.compile(r"  +")
-_BLANK_MAP = dict.fromkeys(map(ord, BLANKS), " ")
+_ODD_BLANK = re.compile(f"[{BLANKS[1:]}]")
 _END = (".", "!", "?", ":", ";", "。", "！", "？", "…", ".\"", ".)", "»", "\"")
 
 
@@ -86,8 +86,10 @@ def line_hashes(host: Column, markdown: Column) -> Column:
 def line_form(line: str) -> bytes:
     """The form of a trimmed line that line_hashes() hashes."""
     form = line.lower()
-    if "  " in form or not form.isascii():
-        form = _SPACES.sub(" ", form.translate(_BLANK_MAP))
+    if not (form.isascii() and form.isprintable()):
+        form = _ODD_BLANK.sub(" ", form)
+    if "  " in form:
+        form = _SPACES.sub(" ", form)
     return _DIGITS.sub("0", form).encode("utf-8", "surrogatepass")
 
 
@@ -120,6 +122,7 @@ class Page:
 
     reason: 'repeat', 'cue' or 'trail' for furniture by its own evidence, 'links' for lines of links that are
     not repeated, 'above' for prose above the title, 'prose' for article text by rule, '' for the rest. block: number of the run of lines between blank ones.
+    words: lower-case words of a line without links, where the rules needed them.
     """
 
     number: list[int] = field(default_factory=list)
@@ -128,25 +131,33 @@ class Page:
     label: list[int] = field(default_factory=list)
     reason: list[str] = field(default_factory=list)
     block: list[int] = field(default_factory=list)
+    words: list[list[str] | None] = field(default_factory=list)
+
 
+def _has_cue(s: str) -> bool:
+    low = s.lower()
+    return any(cue in low for cue in CUES)
 
-def _sentence(s: str) -> bool:
-    """Reads like prose: ends like a sentence, with enough words and function words."""
-    if _KANA.search(s):
-        return len(s) >= 12 and s.endswith(_END)
+
+def _sentence(s: str) -> tuple[bool, list[str] | None]:
+    """Whether a line reads like prose: it ends like a sentence, with enough words and function words. Also its words, where they were needed."""
+    if not s.isascii() and _KANA.search(s):
+        return len(s) >= 12 and s.endswith(_END), None
     if not s.endswith(_END):
-        return False
-    words = _WORD.findall(s.lower())
+        return False, None
+    words = _ASCII_WORD.findall(s.lower()) if s.isascii() else _WORD.findall(s.lower())
     if len(words) < 4:
-        return False
+        return False, words
+    if len(s) > LONG:
+        return not FUNCTION_WORDS.isdisjoint(words), words
     known = sum(w in FUNCTION_WORDS for w in words)
-    return known > 0 if len(s) > LONG else known >= 0.05 * len(words) and known > 0
+    return known > 0 and known >= 0.05 * len(words), words
 
 
 def label_lines(markdown: str, repeated: Callable[[str], bool]) -> Page:
     """The page with a label for each non-blank line. repeated tells of a trimmed line whether the corpus repeats it."""
     page = Page()
-    number, text, kind, label, reason, groups = page.number, page.text, page.kind, page.label, page.reason, page.block
+    number, text, kind, label, reason, groups, words = page.number, page.text, page.kind, page.label, page.reason, page.block, page.words
     links: list[bool] = []  # a list item that is only links to pages
     group, fenced = 0, False
     for i, raw in enumerate(markdown.split("\n")):
@@ -157,7 +168,7 @@ def label_lines(markdown: str, repeated: Callable[[str], bool]) -> Page:
         number.append(i)
         text.append(s)
         groups.append(group)
-        sort, why, verdict, is_links = "text", "", UNSURE, False
+        sort, why, verdict, is_links, of_line = "text", "", UNSURE, False, None
         if fenced or s.startswith("```"):
             if s.startswith("```"):
                 fenced = not fenced
@@ -182,14 +193,19 @@ def label_lines(markdown: str, repeated: Callable[[str], bool]) -> Page:
                 verdict, why = FURNITURE, "repeat"
             elif len(_TRAIL.findall(s)) > 1:
                 verdict, why = FURNITURE, "trail"
-            elif m is None and len(s) <= CUE_CHARS and CUES.search(s):
+            elif m is None and len(s) <= CUE_CHARS and _has_cue(s):
                 verdict, why = FURNITURE, "cue"
-            elif _sentence(body):
-                verdict, why = ARTICLE, "prose"
+            else:
+                prose, own = _sentence(body)
+                if not found:
+                    of_line = own
+                if prose:
+                    verdict, why = ARTICLE, "prose"
         kind.append(sort)
         label.append(verdict)
         reason.append(why)
         links.append(is_links)
+        words.append(of_line)
     n = len(text)
     # Prose of a line above the page title is a notice of the site, as is all else above it.
     top = next((k for k in range(n) if kind[k] == "head" and text[k].startswith("# ")), 0)

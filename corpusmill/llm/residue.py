@@ -70,21 +70,23 @@ SENTENCE = re.compile(
 )
 
 _SPAN = re.compile(r"`[^`\n]*`")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[{}\[\]<>%$#@|_…]+")
+_TOKEN = re.compile(r"[^\W\d_]+|[{}\[\]<>%$#@|_…]+")
+_MARK = re.compile(r"[`{}\[\]<>%$#@|_…]")
+_SHORT = "\x01short"
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_CODE = re.compile(r"\b[A-Z]{2,4}\d+\b")
 
 
-def tokens(passage: str, short: bool) -> list[str]:
-    """Features of a passage without code spans: words, masked numbers and codes, runs of marks, and whether its record is short."""
-    text = _CODE.sub(" ", _SPAN.sub(" ", passage) if "`" in passage else passage)
+def tokens(passage: str, short: bool, words: list[str] | None = None) -> list[str]:
+    """Features of a passage without code spans: words, runs of marks, and whether its record is short. words: the passage's words, if known."""
+    if words is not None and not _MARK.search(passage):
+        return [*words, _SHORT] if short else words
+    text = _SPAN.sub(" ", passage) if "`" in passage else passage
     found = _TOKEN.findall(text.lower())
-    if _CJK.search(text):
+    if not text.isascii() and _CJK.search(text):
         found = [c for w in found for c in (w if _CJK.search(w) else (w,))]
-    found = ["0" if w[0].isdigit() else w for w in found]
     if short:
-        found.append("\x01short")
+        found.append(_SHORT)
     return found
 
 
@@ -124,7 +126,7 @@ class NaiveBayes:
 
     def odds(self, found: list[str]) -> tuple[float, float]:
         r, n = self.residue, self.notice
-        return self.prior[0] + sum(r.get(w, 0.0) for w in found), self.prior[1] + sum(n.get(w, 0.0) for w in found)
+        return self.prior[0] + sum([r[w] for w in found if w in r]), self.prior[1] + sum([n[w] for w in found if w in n])
 
 
 def learn(rows: list[tuple[list[str], int]], rounds: int = ROUNDS) -> NaiveBayes:
@@ -178,7 +180,7 @@ def judge(page: Page, model: NaiveBayes) -> tuple[int, float]:
     n_residue = notice = rest = 0
     for k in lines:
         text = page.text[k]
-        residue, note = model.odds(tokens(text, short))
+        residue, note = model.odds(tokens(text, short, page.words[k]))
         if residue > (HEADING_ODDS if page.kind[k] == "head" else RESIDUE_ODDS) and residue > note:
             n_residue += 1
         if page.kind[k] != "head":
@@ -200,7 +202,7 @@ def fit(pages: DataFrame, sample: DataFrame | None = None) -> NaiveBayes:
         page = label_lines(r.markdown, none)
         lines, short = passages(page)
         classes = trusted(page, r.title, lines, short)
-        rows += [(tokens(page.text[k], short), classes.get(k, -1)) for k in lines]
+        rows += [(tokens(page.text[k], short, page.words[k]), classes.get(k, -1)) for k in lines]
     return learn(rows)
 
 
