@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,8 @@ def round_half_up(x: Column) -> Column:
 def blank_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once a row, however often a lambda inside uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

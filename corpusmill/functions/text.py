@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import EOL, WS, blank_to_null, collapse, join_lines, lines, text, trim
+from .dialect import EOL, WS, blank_to_null, collapse, join_lines, let, lines, text, trim
 
 NOT_EOL = f"[^{EOL}]"
 
@@ -97,23 +99,26 @@ def page_title_line(markdown: Column | str) -> Column:
 
 def is_noise_line(line: Column, title: Column) -> Column:
     """Whether a line is page furniture. Blank lines are not; title is the page's own first heading or ''."""
-    s = trim(line)
     facet = r"[^(\n]+\(\d+\)"
-    noise = (
-        (F.length(s) <= 2)
-        | F.rlike(s, F.lit(r"(?i)^\*\\?\[image:|javascript:|^\\?\]\("))
-        | F.rlike(s, F.lit(rf"(?i)^(?:{NOISE_LABELS})\z"))
-        | ((F.regexp_count(s, F.lit(facet)) >= 2) & (trim(F.regexp_replace(s, facet, "")) == ""))
-        | F.rlike(s, F.lit(rf"^\*[{WS}]+\d+\z"))
-        | F.rlike(s, F.lit(rf"^\\?(?:\[|\]|\)|\([{WS}]*\z|[\\*]{{1,3}}[{WS}]*\z)"))
-        | ((title != "") & (F.lower(s) == F.lower(title)))
-    )
-    return (s != "") & noise
+
+    def told(s: Column) -> Column:
+        noise = (
+            (F.length(s) <= 2)
+            | F.rlike(s, F.lit(r"(?i)^\*\\?\[image:|javascript:|^\\?\]\("))
+            | F.rlike(s, F.lit(rf"(?i)^(?:{NOISE_LABELS})\z"))
+            # Two counts in brackets first: the pattern of a whole facet is slow on long lines without any.
+            | ((F.regexp_count(s, F.lit(r"\(\d+\)")) >= 2) & (F.regexp_count(s, F.lit(facet)) >= 2) & (trim(F.regexp_replace(s, facet, "")) == ""))
+            | F.rlike(s, F.lit(rf"^\*[{WS}]+\d+\z"))
+            | F.rlike(s, F.lit(rf"^\\?(?:\[|\]|\)|\([{WS}]*\z|[\\*]{{1,3}}[{WS}]*\z)"))
+            | ((title != "") & (F.lower(s) == F.lower(title)))
+        )
+        return (s != "") & noise
+
+    return let(trim(line), told)
 
 
 def remove_noise_lines(markdown: Column | str) -> Column:
-    title = page_title_line(markdown)
-    return join_lines(F.filter(lines(markdown), lambda x: ~is_noise_line(x, title)))
+    return let(page_title_line(markdown), lambda title: join_lines(F.filter(lines(markdown), lambda x: ~is_noise_line(x, title))))
 
 
 def remove_ui_headings(markdown: Column | str) -> Column:
@@ -140,21 +145,22 @@ def remove_trailing_ui_sections(markdown: Column | str) -> Column:
     return join_lines(F.filter(lines(x), lambda s: ~F.rlike(s, F.lit(heading))))
 
 
+def _first_of_each(parts: Column, key: Callable[[Column], Column], counts: Callable[[Column], Column]) -> Column:
+    """Parts without those whose key an earlier part had, if the key counts; blank lines between."""
+    pick = lambda ps, keys: F.filter(ps, lambda p, i: ~counts(F.get(keys, i)) | (F.array_position(keys, F.get(keys, i)) == i + 1))
+    return F.array_join(let(parts, lambda ps: let(F.transform(ps, key), lambda keys: pick(ps, keys))), "\n\n")
+
+
 def dedupe_sections(markdown: Column | str) -> Column:
     """First of the ## sections of one title in any case; parts trimmed, empty ones dropped, blank lines between."""
     marked = F.regexp_replace(text(markdown), "(?m)^## ", "\x01## ")
     parts = F.filter(F.transform(F.split(marked, "\x01"), trim), lambda p: p != "")
-    titles = F.transform(parts, lambda p: blank_to_null(F.lower(trim(F.regexp_extract(p, rf"\A## ({NOT_EOL}+)", 1)))))
-    kept = F.filter(parts, lambda p, i: F.coalesce(F.array_position(titles, F.get(titles, i)) == i + 1, F.lit(True)))
-    return F.array_join(kept, "\n\n")
+    return _first_of_each(parts, lambda p: F.lower(trim(F.regexp_extract(p, rf"\A## ({NOT_EOL}+)", 1))), lambda k: k != "")
 
 
 def dedupe_paragraphs(markdown: Column | str) -> Column:
     """First of equal paragraphs of at least 40 characters, blanks and case aside."""
-    parts = F.split(text(markdown), "\n{2,}")
-    keys = F.transform(parts, lambda p: F.lower(collapse(p)))
-    kept = F.filter(parts, lambda p, i: (F.length(F.get(keys, i)) < 40) | (F.array_position(keys, F.get(keys, i)) == i + 1))
-    return F.array_join(kept, "\n\n")
+    return _first_of_each(F.split(text(markdown), "\n{2,}"), lambda p: F.lower(collapse(p)), lambda k: F.length(k) >= 40)
 
 
 def heading_texts(body: Column | str, most: int = 12) -> Column:

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 from .dialect import blank_to_null, text, trim
 
-#: Scheme, authority, path, query of an absolute URL without its fragment.
-_URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+#: Scheme and authority of an absolute http(s) URL.
+_HEAD = r"^(?i:https?)://[^/?#]+"
 # Path segments that are no tags.
 TAG_STOPWORDS = ("en", "www", "index", "html", "php", "cfm", "asp", "aspx", "page", "home")
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _URL, group)
+def _head(url: Column) -> Column:
+    """Scheme and authority; '' if not absolute."""
+    return F.regexp_extract(url, _HEAD, 0)
 
 
 def is_absolute(url: Column | str) -> Column:
-    return F.coalesce(F.rlike(text(url), F.lit(r"^(?i:https?)://[^/?#]+")), F.lit(False))
+    return F.coalesce(F.rlike(text(url), F.lit(_HEAD)), F.lit(False))
 
 
 def canonical(url: Column | str) -> Column:
     """Absolute URL as a browser prints it: scheme and host in lower case, / as the empty path, fragment kept; null if not absolute."""
     u = trim(url)
-    head = F.concat(F.lower(_part(u, 1)), F.lit("://"), F.lower(_part(u, 2)))
-    path = F.when(_part(u, 3) == "", "/").otherwise(_part(u, 3))
-    return F.when(is_absolute(u), F.concat(head, path, _part(u, 4), F.regexp_extract(u, r"(#.*)$", 1)))
+    rest = F.regexp_replace(F.regexp_replace(u, _HEAD, ""), r"^(?!/)", "/")
+    return F.concat(blank_to_null(F.lower(_head(u))), rest)
 
 
 def without_fragment(url: Column) -> Column:
@@ -40,15 +40,12 @@ def normalize_discovered(url: Column | str) -> Column:
 
 def normalize_persisted(url: Column | str) -> Column:
     """Without fragment; one final slash goes unless the path is the root. Input that is no absolute URL stays."""
-    u = without_fragment(canonical(url))
-    root = _part(u, 3) == "/"
-    return F.coalesce(F.when(root, u).otherwise(F.regexp_replace(u, r"/\z", "")), text(url))
+    return F.coalesce(F.regexp_replace(without_fragment(canonical(url)), r"^([a-z]+://[^/]+/[^?].*)/\z", "$1"), text(url))
 
 
 def host(url: Column | str) -> Column:
     """Host name in lower case without port; null if not absolute."""
-    u = trim(url)
-    return F.when(is_absolute(u), F.regexp_replace(F.lower(F.regexp_replace(_part(u, 2), "^.*@", "")), r":\d*\z", ""))
+    return blank_to_null(F.regexp_replace(F.lower(_head(trim(url))), r"^https?://(?:.*@)?|:\d*\z", ""))
 
 
 def domain_key(url: Column | str) -> Column:
@@ -64,8 +61,7 @@ def index_domain(key: Column | str) -> Column:
 
 def pathname(url: Column | str) -> Column:
     """Path of an absolute URL, / where it is empty; null otherwise."""
-    u = trim(url)
-    return F.when(is_absolute(u), F.when(_part(u, 3) == "", "/").otherwise(_part(u, 3)))
+    return F.regexp_extract(canonical(url), r"^[a-z]+://[^/]+([^?#]*)", 1)
 
 
 def encode_path(path: Column) -> Column:

@@ -22,16 +22,17 @@ def links(edges: DataFrame, by: str = "domain", src: str = "src", href: str = "h
 
     Anchors and mail addresses are no links. A relative target counts from the origin, not from the page that has it.
     """
-    e = edges.where(F.col(src).isNotNull() & F.col(href).isNotNull() & ~F.rlike(F.trim(href), F.lit("^(#|(?i:mailto:|javascript:|tel:))")) & (F.trim(href) != ""))
-    origin = F.regexp_extract(urls.canonical(src), r"^([a-z][a-z0-9+.\-]*://[^/?#]*)", 1)
-    h = F.trim(href)
+    e = edges.where(F.col(src).isNotNull() & F.col(href).isNotNull()).select(F.col(by).alias("by"), urls.canonical(src).alias("page"), F.trim(href).alias("h"))
+    some = e.where((F.col("h") != "") & ~F.rlike("h", F.lit("^(#|(?i:mailto:|javascript:|tel:))")))
+    placed = some.withColumn("origin", F.regexp_extract("page", r"^([a-z][a-z0-9+.\-]*://[^/?#]*)", 1))
     absolute = (
-        F.when(F.rlike(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(origin, "^[a-z]+:", 0), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
-        .otherwise(F.concat(origin, F.lit("/"), F.regexp_replace(h, r"^(\./)+", "")))
+        F.when(F.rlike("h", F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), F.col("h"))
+        .when(F.startswith("h", F.lit("//")), F.concat(F.regexp_extract("origin", "^[a-z]+:", 0), "h"))
+        .when(F.startswith("h", F.lit("/")), F.concat("origin", "h"))
+        .otherwise(F.concat("origin", F.lit("/"), F.regexp_replace("h", r"^(\./)+", "")))
     )
-    rows = e.select(F.col(by).alias("by"), origin.alias("origin"), urls.normalize_discovered(src).alias("source"), urls.normalize_discovered(absolute).alias("target"))
+    # Step by step, so that each intermediate column is computed once.
+    rows = placed.withColumn("absolute", absolute).withColumn("target", urls.normalize_discovered("absolute")).withColumn("source", urls.normalize_discovered("page"))
     inside = rows.where(F.col("target").isNotNull() & urls.same_origin("target", "origin"))
     return inside.select(F.col("by").alias(by), "source", "target").distinct()
 
@@ -43,7 +44,8 @@ def crawl(graph: DataFrame, seeds: DataFrame, by: str, max_depth: int, includes:
     level is cut from its history through the checkpoint folder of the session, so plans stay short and a lost executor
     does not walk the graph again.
     """
-    edges = graph.where(urls.matches_patterns("target", includes, excludes) & (F.col("source") != F.col("target")))
+    # Read at every level, so written once.
+    edges = graph.where(urls.matches_patterns("target", includes, excludes) & (F.col("source") != F.col("target"))).checkpoint()
     seen = seeds.select(F.col(by).alias("by"), F.col("url").alias("url")).distinct().withColumn("depth", F.lit(0))
     step = edges.select(F.col(by).alias("e_by"), F.col("source"), F.col("target"))
     frontier = seen

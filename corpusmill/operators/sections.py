@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dialect import EOL, WS, join_lines, lines, text, trim
+from ..functions.dialect import EOL, WS, join_lines, let, lines, text, trim
 from ..functions.text import count_words, estimate_tokens, is_ui_heading, plain_text
 
 MIN_WORDS = 5
@@ -19,28 +19,29 @@ _HEAD = rf"^(#{{1,3}})[{WS}]+([^{EOL}]+)\z"
 
 def chunk_sections(body: Column | str, min_words: int = MIN_WORDS) -> Column:
     """array<struct<heading, level, word_count, token_estimate>> of the sections of at least min_words words."""
-    all_lines = lines(body)
-    numbered = F.transform(all_lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.rlike(x, F.lit(_HEAD)).alias("head")))
-    heads = F.transform(
-        F.filter(numbered, lambda s: s["head"]),
-        lambda s: F.struct(s["at"].alias("at"), F.length(F.regexp_extract(s["line"], _HEAD, 1)).alias("level"), trim(F.regexp_extract(s["line"], _HEAD, 2)).alias("heading")),
-    )
-    marked = F.transform(heads, lambda h: F.struct(h["at"].alias("at"), h["level"].alias("level"), h["heading"].alias("heading"), is_ui_heading(h["heading"]).alias("ui")))
-    n = F.size(all_lines)
-
-    def section(h: Column, j: Column) -> Column:
-        end = F.coalesce(F.get(marked, j + 1)["at"], n)
-        # Where the last section before this one ends: at the heading after it.
-        earlier = F.filter(F.transform(marked, lambda x, k: F.struct(k.alias("k"), x["ui"].alias("ui"))), lambda x: (x["k"] < j) & ~x["ui"])
-        start = F.coalesce(F.get(marked, F.array_max(F.transform(earlier, lambda x: x["k"])) + 1)["at"], F.lit(0))
-        own = F.filter(F.slice(numbered, start + 1, end - start), lambda s: ~s["head"])
-        plain = plain_text(join_lines(F.transform(own, lambda s: s["line"])))
-        return F.struct(
-            h["heading"].alias("heading"), h["level"].cast("int").alias("level"), count_words(plain).cast("int").alias("word_count"), estimate_tokens(plain).cast("int").alias("token_estimate"), h["ui"].alias("ui")
+    numbered = F.transform(lines(body), lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.rlike(x, F.lit(_HEAD)).alias("head")))
+
+    def headings(rows: Column) -> Column:
+        found = F.transform(
+            F.filter(rows, lambda s: s["head"]),
+            lambda s: F.struct(s["at"].alias("at"), F.length(F.regexp_extract(s["line"], _HEAD, 1)).alias("level"), trim(F.regexp_extract(s["line"], _HEAD, 2)).alias("heading")),
         )
+        return F.transform(found, lambda h, k: F.struct(k.alias("k"), h["at"].alias("at"), h["level"].alias("level"), h["heading"].alias("heading"), is_ui_heading(h["heading"]).alias("ui")))
+
+    def made(rows: Column, heads: Column) -> Column:
+        real = lambda h: ~h["ui"]
+        return F.filter(F.transform(F.filter(heads, real), lambda h, j: section(rows, heads, h, j)), lambda s: s["word_count"] >= min_words)
+
+    def section(rows: Column, heads: Column, h: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(heads, h["k"] + 1)["at"], F.size(rows))
+        # The section before this one ends at the heading after its own; what lies between leaks into this one.
+        before = F.get(F.filter(heads, lambda x: ~x["ui"]), j - 1)["k"]
+        start = F.coalesce(F.when(j > 0, F.get(heads, before + 1)["at"]), F.lit(0))
+        own = F.filter(F.slice(rows, start + 1, end - start), lambda s: ~s["head"])
+        plain = plain_text(join_lines(F.transform(own, lambda s: s["line"])))
+        return let(plain, lambda p: F.struct(h["heading"].alias("heading"), h["level"].cast("int").alias("level"), count_words(p).cast("int").alias("word_count"), estimate_tokens(p).cast("int").alias("token_estimate")))
 
-    made = F.filter(F.transform(marked, section), lambda s: ~s["ui"] & (s["word_count"] >= min_words))
-    return F.transform(made, lambda s: F.struct(s["heading"].alias("heading"), s["level"].alias("level"), s["word_count"].alias("word_count"), s["token_estimate"].alias("token_estimate")))
+    return let(numbered, lambda rows: let(headings(rows), lambda heads: made(rows, heads)))
 
 
 def section_rows(pages: DataFrame, key: str, body: str) -> DataFrame:
