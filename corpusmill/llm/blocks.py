@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, pages_with_host, receive, send, single_blanks, table, trim_blanks
+from .common import pages_with_host, receive, send, single_blanks, table, trim_blanks
+from .counting import count_corpus, host_seed, line_form, signed
 
 ARTICLE, FURNITURE, UNSURE = 1, 0, -1
 
@@ -59,6 +59,8 @@ LONG = 200
 
 MIN_HOST_PAGES, HOST_SHARE = 5, 0.10
 MIN_HOSTS, CORPUS_SHARE = 5, 0.001
+#: Short lines whose verdict a task remembers.
+MEMO = 300_000
 #: Rows up to which the table of repeated lines is sent to the tasks (8 bytes a row).
 SEND_LINES = 4_000_000
 
@@ -66,12 +68,10 @@ _LINK = re.compile(r"!?\[([^\]]*)\]\(([^()\s]*)[^()]*\)")
 _ITEM = re.compile(r"(?:[-*+•]|\d{1,3}[.)]) +")
 _FILE = re.compile(r"\.(?:pdf|zip|tar|gz|tgz|docx?|xlsx?|pptx?|csv|bin|iso|exe|msi|txt|epub)(?:$|[?#])|/(?:files|downloads?)/", re.I)
 _TRAIL = re.compile(r" (?:>|»|›|→) ")
+_CODE = ("code", ARTICLE, "", False, None)
 _KANA = re.compile(r"[぀-ヿ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _ASCII_WORD = re.compile(r"[a-z]+")
-_DIGITS = re.compile(r"[0-9]+")
-_SPACES = re.compile(r"  +")
-_ODD_BLANK = re.compile(f"[{BLANKS[1:]}]")
 _END = (".", "!", "?", ":", ";", "。", "！", "？", "…", ".\"", ".)", "»", "\"")
 
 
@@ -83,36 +83,16 @@ def line_hashes(host: Column, markdown: Column) -> Column:
     return F.transform(F.array_distinct(forms), lambda x: F.struct(F.xxhash64(host, x).alias("key"), F.xxhash64(x).alias("form")))
 
 
-def line_form(line: str) -> bytes:
-    """The form of a trimmed line that line_hashes() hashes."""
-    form = line.lower()
-    if not (form.isascii() and form.isprintable()):
-        form = _ODD_BLANK.sub(" ", form)
-    if "  " in form:
-        form = _SPACES.sub(" ", form)
-    return _DIGITS.sub("0", form).encode("utf-8", "surrogatepass")
+def repeated_lines(counts: DataFrame, pages: DataFrame, n_pages: int) -> DataFrame:
+    """key: hashes of (host, line) of the lines on many pages of their host, and of (line) of those on many pages of many hosts.
 
-
-def python_key(line: str, seed: int = 42) -> int:
-    """xxhash64(host, form) as Spark computes it where seed is host_seed(host), else xxhash64(form)."""
-    key = xxhash.xxh64_intdigest(line_form(line), seed)
-    return key - 2**64 if key >= 2**63 else key
-
-
-def host_seed(host: str) -> int:
-    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), 42)
-
-
-def repeated_lines(pages: DataFrame) -> DataFrame:
-    """key: hashes of (host, line) of the lines on many pages of their host, and of (line) of those on many pages of many hosts."""
-    lines = pages.select("host", F.explode(line_hashes(F.col("host"), F.col("markdown"))).alias("x"))
-    by_host = lines.groupBy("host", F.col("x.key").alias("key"), F.col("x.form").alias("form")).agg(F.count(F.lit(1)).alias("n"))
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    total = hosts.agg(F.sum("host_pages").alias("all_pages"))
+    counts is count_corpus() of the pages, n_pages their number.
+    """
+    by_host = counts.where(F.col("key").isNotNull())
+    hosts = pages.where(F.col("markdown").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     on_host = by_host.where(F.col("n") >= MIN_HOST_PAGES).join(hosts, "host").where(F.col("n") >= HOST_SHARE * F.col("host_pages")).select("key")
-    spread = by_host.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_hosts")).where(F.col("n_hosts") >= MIN_HOSTS)
-    # One row with the number of pages: the cross join adds a constant.
-    common = spread.crossJoin(F.broadcast(total)).where(F.col("n") >= CORPUS_SHARE * F.col("all_pages")).select(F.col("form").alias("key"))
+    spread = by_host.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_hosts"))
+    common = spread.where((F.col("n_hosts") >= MIN_HOSTS) & (F.col("n") >= CORPUS_SHARE * n_pages)).select(F.col("form").alias("key"))
     return on_host.union(common).distinct()
 
 
@@ -120,7 +100,7 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
 class Page:
     """Non-blank lines of a page: line_no, trimmed text, label; kind: 'code', 'table', 'head', 'item', 'text'.
 
-    reason: 'repeat', 'cue' or 'trail' for furniture by its own evidence, 'links' for lines of links that are
+    reason: 'repeat' (on its host), 'common' (on many hosts), 'cue' or 'trail' for furniture by its own evidence, 'links' for lines of links that are
     not repeated, 'above' for prose above the title, 'prose' for article text by rule, '' for the rest. block: number of the run of lines between blank ones.
     words: lower-case words of a line without links, where the rules needed them.
     """
@@ -154,8 +134,31 @@ def _sentence(s: str) -> tuple[bool, list[str] | None]:
     return known > 0 and known >= 0.05 * len(words), words
 
 
-def label_lines(markdown: str, repeated: Callable[[str], bool]) -> Page:
-    """The page with a label for each non-blank line. repeated tells of a trimmed line whether the corpus repeats it."""
+def _decide(s: str, repeated: Callable[[str], str]) -> tuple[str, int, str, bool, list[str] | None]:
+    """Kind, label, reason, whether it is a list item of links, and words of a trimmed line outside code, by itself."""
+    if s[0] == "#" and s.lstrip("#")[:1] in (" ", "\t"):
+        return "head", ARTICLE, "", False, None
+    if s[0] == "|" and s[-1] == "|" and len(s) > 1:
+        return "table", ARTICLE, "", False, None
+    m = _ITEM.match(s)
+    sort, body = ("item", s[m.end() :]) if m else ("text", s)
+    found = _LINK.findall(body) if "](" in body else ()
+    if found and sum(len(a) for a, _ in found) >= len(_LINK.sub("", body).strip(" |·•-–—,;/")):
+        if all(_FILE.search(b) for _, b in found):
+            return sort, ARTICLE, "", False, None
+        return sort, FURNITURE, repeated(s) or "links", m is not None, None
+    if (m is None or found) and (why := repeated(s)):
+        return sort, FURNITURE, why, False, None
+    if len(_TRAIL.findall(s)) > 1:
+        return sort, FURNITURE, "trail", False, None
+    if m is None and len(s) <= CUE_CHARS and _has_cue(s):
+        return sort, FURNITURE, "cue", False, None
+    prose, own = _sentence(body)
+    return sort, ARTICLE if prose else UNSURE, "prose" if prose else "", False, None if found else own
+
+
+def label_lines(markdown: str, repeated: Callable[[str], str], memo: dict | None = None) -> Page:
+    """The page with a label for each non-blank line. repeated tells of a trimmed line whether the corpus repeats it ('repeat', 'common' or ''); memo keeps what it said of short lines."""
     page = Page()
     number, text, kind, label, reason, groups, words = page.number, page.text, page.kind, page.label, page.reason, page.block, page.words
     links: list[bool] = []  # a list item that is only links to pages
@@ -168,44 +171,21 @@ def label_lines(markdown: str, repeated: Callable[[str], bool]) -> Page:
         number.append(i)
         text.append(s)
         groups.append(group)
-        sort, why, verdict, is_links, of_line = "text", "", UNSURE, False, None
         if fenced or s.startswith("```"):
             if s.startswith("```"):
                 fenced = not fenced
-            sort, verdict = "code", ARTICLE
-        elif s[0] == "#" and s.lstrip("#")[:1] in (" ", "\t"):
-            sort, verdict = "head", ARTICLE
-        elif s[0] == "|" and s[-1] == "|" and len(s) > 1:
-            sort, verdict = "table", ARTICLE
+            told = _CODE
         else:
-            m = _ITEM.match(s)
-            if m:
-                sort = "item"
-            body = s[m.end() :] if m else s
-            found = _LINK.findall(body) if "](" in body else ()
-            dense = found and sum(len(a) for a, _ in found) >= len(_LINK.sub("", body).strip(" |·•-–—,;/"))
-            if dense and all(_FILE.search(b) for _, b in found):
-                verdict = ARTICLE
-            elif dense:
-                is_links = m is not None
-                verdict, why = FURNITURE, "repeat" if repeated(s) else "links"
-            elif (m is None or found) and repeated(s):
-                verdict, why = FURNITURE, "repeat"
-            elif len(_TRAIL.findall(s)) > 1:
-                verdict, why = FURNITURE, "trail"
-            elif m is None and len(s) <= CUE_CHARS and _has_cue(s):
-                verdict, why = FURNITURE, "cue"
-            else:
-                prose, own = _sentence(body)
-                if not found:
-                    of_line = own
-                if prose:
-                    verdict, why = ARTICLE, "prose"
-        kind.append(sort)
-        label.append(verdict)
-        reason.append(why)
-        links.append(is_links)
-        words.append(of_line)
+            told = memo.get(s) if memo is not None else None
+            if told is None:
+                told = _decide(s, repeated)
+                if memo is not None and len(s) <= LONG:
+                    memo[s] = told
+        kind.append(told[0])
+        label.append(told[1])
+        reason.append(told[2])
+        links.append(told[3])
+        words.append(told[4])
     n = len(text)
     # Prose of a line above the page title is a notice of the site, as is all else above it.
     top = next((k for k in range(n) if kind[k] == "head" and text[k].startswith("# ")), 0)
@@ -246,42 +226,58 @@ def label_lines(markdown: str, repeated: Callable[[str], bool]) -> Page:
 
 
 class Repeats:
-    """Tells repeated lines: from keys sent to the task, or from the keys that came with each page."""
+    """Labels pages: knows the repeated lines by keys sent to the task, or by the keys that came with each page."""
 
-    def __init__(self, keys: np.ndarray | None):
+    def __init__(self, keys: np.ndarray | None, n_pages: int = 0):
         self.held = None if keys is None else set(keys.tolist())
+        self.n_pages = n_pages
+        self.memos: dict[str, dict] = {}
+        self.noted = 0
 
-    def of(self, host: str, own: list[int] | None) -> Callable[[str], bool]:
+    def told(self, host: str, own: list[int] | None) -> Callable[[str], str]:
         seed, held = host_seed(host), self.held if self.held is not None else set(own or ())
 
-        def repeated(line: str) -> bool:
+        def repeated(line: str) -> str:
             form = line_form(line)
-            for key in (xxhash.xxh64_intdigest(form, seed), xxhash.xxh64_intdigest(form, 42)):
-                if (key - 2**64 if key >= 2**63 else key) in held:
-                    return True
-            return False
+            if signed(xxhash.xxh64_intdigest(form, seed)) in held:
+                return "repeat"
+            return "common" if signed(xxhash.xxh64_intdigest(form, 42)) in held else ""
 
         return repeated
 
+    def label(self, markdown: str, host: str, own: list[int] | None) -> Page:
+        """The labelled page. Verdicts on short lines are remembered by host while the keys hold for all its pages; the memory of a task is bounded."""
+        if self.held is None:
+            return label_lines(markdown, self.told(host, own))
+        if self.noted > MEMO:
+            self.memos, self.noted = {}, 0
+        memo = self.memos.setdefault(host, {})
+        before = len(memo)
+        page = label_lines(markdown, self.told(host, None), memo)
+        self.noted += len(memo) - before
+        return page
+
 
-def with_repeats(pages: DataFrame, columns: list[str], most: int = SEND_LINES) -> tuple[DataFrame, Repeats]:
+def with_repeats(pages: DataFrame, columns: list[str], counts: DataFrame | None = None, most: int = SEND_LINES) -> tuple[DataFrame, Repeats]:
     """The pages' columns, host and own_keys, and what tells repeated lines.
 
     own_keys is null where the keys are sent; where they are too many it holds each page's repeated keys, joined by key.
     """
-    keys = repeated_lines(pages)
+    n_pages = pages.where(F.col("markdown").isNotNull()).count()
+    keys = repeated_lines(count_corpus(pages, of_words=False) if counts is None else counts, pages, n_pages)
     few = np.array([r.key for r in keys.limit(most + 1).toLocalIterator()], dtype=np.int64)
     if len(few) <= most:
-        return pages.select(*columns, "host", F.lit(None).cast("array<bigint>").alias("own_keys")), Repeats(few)
+        return pages.select(*columns, "host", F.lit(None).cast("array<bigint>").alias("own_keys")), Repeats(few, n_pages)
     hashes = line_hashes(F.col("host"), F.col("markdown"))
     both = F.concat(F.transform(hashes, lambda x: x["key"]), F.transform(hashes, lambda x: x["form"]))
     lines = pages.select("page_id", F.explode(both).alias("key"))
     own = lines.join(keys, "key", "left_semi").groupBy(F.col("page_id").alias("_own_page")).agg(F.collect_set("key").alias("own_keys"))
-    return pages.join(own, F.col("page_id") == F.col("_own_page"), "left").select(*columns, "host", "own_keys"), Repeats(None)
+    return pages.join(own, F.col("page_id") == F.col("_own_page"), "left").select(*columns, "host", "own_keys"), Repeats(None, n_pages)
 
 
 def load_pages(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    return pages_with_host(table(spark, sf_dir, "discovered_pages"), table(spark, sf_dir, "page_metadata"), ["page_id", "markdown", *extra])
+    """Pages with markdown and the host of their URL; texts are not shuffled for it."""
+    return pages_with_host(table(spark, sf_dir, "discovered_pages"), None, ["page_id", "markdown", *extra])
 
 
 def labelled_lines(pages: DataFrame, most: int = SEND_LINES) -> DataFrame:
@@ -289,7 +285,7 @@ def labelled_lines(pages: DataFrame, most: int = SEND_LINES) -> DataFrame:
 
     Null markdown gives no row; a page of blank lines none either; repeated pages repeat their rows.
     """
-    rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown"], most)
+    rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown"], most=most)
     sent = send(pages.sparkSession, repeats)
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int64()), ("article", pa.bool_())])
 
@@ -299,7 +295,7 @@ def labelled_lines(pages: DataFrame, most: int = SEND_LINES) -> DataFrame:
             ids, hosts, own = (batch.column(k).to_pylist() for k in (0, 2, 3))
             out: tuple[list, list, list] = ([], [], [])
             for i, text, host, keys in zip(ids, batch.column(1), hosts, own, strict=True):
-                page = label_lines(text.as_py(), told.of(host, keys))
+                page = told.label(text.as_py(), host, keys)
                 out[0].extend([i] * len(page.number))
                 out[1].extend(page.number)
                 out[2].extend(x == ARTICLE for x in page.label)

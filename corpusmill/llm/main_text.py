@@ -13,52 +13,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import residue, spam
-from .blocks import ARTICLE, label_lines, load_pages, with_repeats
+from .blocks import ARTICLE, load_pages, with_repeats
 from .common import receive, send
 
 
-def page_lines(pages: DataFrame, known: spam.Collocations | None, model: residue.NaiveBayes | None) -> DataFrame:
-    """page_id, furniture, kept: numbers of the furniture lines and the article's lines, joined, of each page (page_id, markdown, host).
+def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True) -> DataFrame:
+    """page_id, furniture, kept: numbers of the furniture lines and the article's lines, joined, of each page (page_id, markdown, title, host).
 
-    Pages that known (problem 1) or model (problem 5) finds give no row; None leaves a problem out. Null markdown gives no row,
-    an empty page two empty results; repeated pages give repeated rows.
+    Pages that are cases of problem 1 or 5 give no row if without_cases. kept is null without text. Null markdown gives no row, an empty page two empty
+    results; repeated pages give repeated rows.
     """
-    rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown"])
+    counts = spam.kept_counts(pages)
+    rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown", "title"], counts)
+    known, model = (spam.fit(counts), residue.fit(rows, repeats)) if without_cases else (None, None)
     sent = send(pages.sparkSession, (known, model, repeats))
     schema = pa.schema([("page_id", pa.int64()), ("furniture", pa.list_(pa.int64())), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bayes, lines = receive(sent)
+        corpus, bayes, lines = receive(sent)
         for batch in batches:
             ids, hosts, own = (batch.column(k).to_pylist() for k in (0, 2, 3))
             out: tuple[list, list, list] = ([], [], [])
             for i, t, host, keys in zip(ids, batch.column(1), hosts, own, strict=True):
                 markdown = t.as_py()
-                page = label_lines(markdown, lines.of(host, keys))
+                page = lines.label(markdown, host, keys)
                 if bayes is not None:
                     n_residue, notice = residue.judge(page, bayes)
                     if n_residue or notice > residue.NOTICE_SHARE:
                         continue
-                if counts is not None and spam.spam_share(page, counts) > spam.SPAM_SHARE:
+                if corpus is not None and spam.spam_share(page, corpus) > spam.SPAM_SHARE:
                     continue
                 gone = [n for n, x in zip(page.number, page.label, strict=True) if x != ARTICLE]
-                drop = set(gone)
+                kept = None
+                if text:
+                    drop = set(gone)
+                    kept = "\n".join(x for n, x in enumerate(markdown.split("\n")) if n not in drop).strip()
                 out[0].append(i)
                 out[1].append(gone)
-                out[2].append("\n".join(x for n, x in enumerate(markdown.split("\n")) if n not in drop).strip())
+                out[2].append(kept)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "page_id bigint, furniture array<bigint>, kept string")
+    return rows.select("page_id", "markdown", "host", "own_keys").mapInArrow(run, "page_id bigint, furniture array<bigint>, kept string")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = load_pages(spark, sf_dir, "title")
-    return page_lines(pages, spam.fit(pages), residue.fit(pages))
+def _lines(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    return page_lines(load_pages(spark, sf_dir, "title"), text=text)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are not part of the article, of pages that are no case of problems 1 and 5."""
-    return _lines(spark, sf_dir).select("page_id", F.explode("furniture").alias("line_no")).distinct()
+    return _lines(spark, sf_dir, text=False).select("page_id", F.explode("furniture").alias("line_no"))
 
 
 def p2_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

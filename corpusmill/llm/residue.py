@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Page, Repeats, label_lines, load_pages, with_repeats
+from .blocks import Page, Repeats, load_pages, with_repeats
 from .common import receive, send
 
 #: Records that the model may be fitted on, and the longest of them in characters.
@@ -33,8 +33,10 @@ BACKGROUND = 300.0
 #: Content below which a record counts as short.
 SHORT = 700
 #: Log-odds from which a passage is residue or notice; share of notice characters that makes the record one.
-#: Headings are short and share their words with articles, so they need more.
-RESIDUE_ODDS, HEADING_ODDS, NOTICE_ODDS, NOTICE_SHARE = 2.0, 8.0, 0.0, 0.5
+#: Headings, short as they are and with the words of articles, need more.
+RESIDUE_ODDS, FIRM_ODDS, NOTICE_ODDS, NOTICE_SHARE = 2.0, 8.0, 0.0, 0.5
+#: A passage without a token of such log-odds is ordinary.
+TELLING = 1.5
 ORDINARY, RESIDUE, NOTICE = range(3)
 
 # Syntax of unfilled template fields.
@@ -69,6 +71,9 @@ SENTENCE = re.compile(
     re.I,
 )
 
+#: Reasons of blocks.Page that make a line furniture here. Lines of many hosts are not: notices and fillers are such lines.
+FURNITURE = ("repeat", "cue", "trail", "links", "above")
+
 _SPAN = re.compile(r"`[^`\n]*`")
 _TOKEN = re.compile(r"[^\W\d_]+|[{}\[\]<>%$#@|_…]+")
 _MARK = re.compile(r"[`{}\[\]<>%$#@|_…]")
@@ -91,8 +96,8 @@ def tokens(passage: str, short: bool, words: list[str] | None = None) -> list[st
 
 
 def content(page: Page) -> list[int]:
-    """Lines that may be residue or notice: not code, and not furniture by its own evidence."""
-    return [k for k in range(len(page.text)) if page.kind[k] != "code" and page.reason[k] not in ("repeat", "cue", "trail", "links", "above")]
+    """Lines that are neither code nor furniture by its own evidence."""
+    return [k for k in range(len(page.text)) if page.kind[k] != "code" and page.reason[k] not in FURNITURE]
 
 
 def passages(page: Page) -> tuple[list[int], bool]:
@@ -124,6 +129,19 @@ class NaiveBayes:
     notice: dict[str, float]
     prior: tuple[float, float]
 
+    def __post_init__(self) -> None:
+        self.telling = frozenset(w for g in (self.residue, self.notice) for w, x in g.items() if x >= TELLING)
+        self.memo: dict[str, tuple[bool, bool]] = {}
+
+    def stock(self, text: str) -> tuple[bool, bool]:
+        """Whether a line of the site's furniture has a field or stock filler, and whether it has a stock notice."""
+        told = self.memo.get(text)
+        if told is None:
+            told = bool(FIELD.search(_SPAN.sub(" ", text)) or FILLER.search(text)), bool(SENTENCE.search(text))
+            if len(self.memo) < 100_000:
+                self.memo[text] = told
+        return told
+
     def odds(self, found: list[str]) -> tuple[float, float]:
         r, n = self.residue, self.notice
         return self.prior[0] + sum([r[w] for w in found if w in r]), self.prior[1] + sum([n[w] for w in found if w in n])
@@ -175,51 +193,69 @@ def learn(rows: list[tuple[list[str], int]], rounds: int = ROUNDS) -> NaiveBayes
 
 
 def judge(page: Page, model: NaiveBayes) -> tuple[int, float]:
-    """Number of residue passages, and the share of notices in the content besides headings."""
-    lines, short = passages(page)
+    """Number of residue passages, and the share of notices in the content besides headings.
+
+    Furniture counts only where a stock pattern says so; a line of many hosts counts only if the model finds it.
+    """
+    short = passages(page)[1]
     n_residue = notice = rest = 0
-    for k in lines:
-        text = page.text[k]
-        residue, note = model.odds(tokens(text, short, page.words[k]))
-        if residue > (HEADING_ODDS if page.kind[k] == "head" else RESIDUE_ODDS) and residue > note:
+    for k, text in enumerate(page.text):
+        kind, why = page.kind[k], page.reason[k]
+        if kind == "code":
+            continue
+        if why in FURNITURE:
+            if "](" not in text and why != "trail":
+                filled, note = model.stock(text)
+                n_residue += filled
+                notice += len(text) * (short and note)
+            continue
+        found = tokens(text, short, page.words[k])
+        residue, note = (-1.0, -1.0) if model.telling.isdisjoint(found) else model.odds(found)
+        if residue > (FIRM_ODDS if kind == "head" else RESIDUE_ODDS) and residue > note:
             n_residue += 1
-        if page.kind[k] != "head":
+        if kind != "head":
             if note > NOTICE_ODDS and note >= residue:
                 notice += len(text)
-            else:
+            elif why != "common":
                 rest += len(text)
     return n_residue, notice / (notice + rest) if notice else 0.0
 
 
-def fit(pages: DataFrame, sample: DataFrame | None = None) -> NaiveBayes:
-    """Model of pages (page_id, markdown, title, host); see FIT_RECORDS. Pages without any trusted record give a model that finds nothing."""
-    n = pages.count()
-    share = min(1.0, FIT_RECORDS / max(1, n))
-    chosen = pages.select("page_id", "markdown", "title").where(F.col("markdown").isNotNull() & (F.length("markdown") <= FIT_CHARS) & (F.pmod(F.xxhash64("page_id", F.lit("fit")), F.lit(2**30)) < F.lit(int(share * 2**30))))
-    rows = []
-    none = Repeats(np.zeros(0, dtype=np.int64)).of("", None)
+def fit(rows: DataFrame, repeats: Repeats) -> NaiveBayes:
+    """Model of pages (page_id, markdown, title, host, own_keys) and what tells their repeated lines; see FIT_RECORDS.
+
+    Pages without any trusted record give a model that finds nothing.
+    """
+    share = min(1.0, FIT_RECORDS / max(1, repeats.n_pages))
+    chosen = rows.select("page_id", "markdown", "title", "host", "own_keys").where(
+        F.col("markdown").isNotNull() & (F.length("markdown") <= FIT_CHARS) & (F.pmod(F.xxhash64("page_id", F.lit("fit")), F.lit(2**30)) < F.lit(int(share * 2**30)))
+    )
+    known = []
     for r in chosen.orderBy("page_id", "markdown").collect():
-        page = label_lines(r.markdown, none)
+        page = repeats.label(r.markdown, r.host, r.own_keys)
         lines, short = passages(page)
         classes = trusted(page, r.title, lines, short)
-        rows += [(tokens(page.text[k], short, page.words[k]), classes.get(k, -1)) for k in lines]
-    return learn(rows)
+        known += [(tokens(page.text[k], short, page.words[k]), classes.get(k, -1)) for k in lines]
+    return learn(known)
 
 
-def judged_pages(pages: DataFrame, model: NaiveBayes) -> DataFrame:
-    """page_id, n_residue, notice_share of each page. Null markdown gives no row, an empty page zeros, repeated pages repeated rows."""
-    rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown"])
-    sent, told = send(pages.sparkSession, model), send(pages.sparkSession, repeats)
+def judged_pages(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """page_id, n_residue, notice_share of each page (page_id, markdown, title, host); counts is count_corpus() of the pages, made here if absent.
+
+    Null markdown gives no row, an empty page zeros, repeated pages repeated rows.
+    """
+    rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown", "title"], counts)
+    sent = send(pages.sparkSession, (fit(rows, repeats), repeats))
     schema = pa.schema([("page_id", pa.int64()), ("n_residue", pa.int64()), ("notice_share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bayes, lines = receive(sent), receive(told)
+        bayes, lines = receive(sent)
         for batch in batches:
             ids, hosts, own = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            got = [judge(label_lines(t.as_py(), lines.of(h, o)), bayes) for t, h, o in zip(batch.column(1), hosts, own, strict=True)]
+            got = [judge(lines.label(t.as_py(), h, o), bayes) for t, h, o in zip(batch.column(1), hosts, own, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], schema=schema)
 
-    return rows.mapInArrow(run, "page_id bigint, n_residue bigint, notice_share double")
+    return rows.select("page_id", "markdown", "host", "own_keys").mapInArrow(run, "page_id bigint, n_residue bigint, notice_share double")
 
 
 def is_case() -> F.Column:
@@ -229,13 +265,13 @@ def is_case() -> F.Column:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are, or hold, residue or a notice."""
     pages = load_pages(spark, sf_dir, "title")
-    return judged_pages(pages, fit(pages)).where(is_case()).select("page_id").distinct()
+    return judged_pages(pages).where(is_case()).select("page_id")
 
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residue passages and notice share of every page."""
     pages = load_pages(spark, sf_dir, "title")
-    return judged_pages(pages, fit(pages))
+    return judged_pages(pages)
 
 
 QUERIES = {"p5_found": p5_found, "p5_scores": p5_scores}
