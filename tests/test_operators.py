@@ -143,3 +143,55 @@ def test_documents_round_trip(spark):
     m = made.first()
     assert (got["1"].title, got["1"].content_hash, got["1"].content_words, got["1"].tags, got["1"].section_count) == (m.title, m.content_hash, m.word_count, m.tags, len(m.chunk_sections))
     assert (got["old"].title, got["old"].scraped_at, got["old"].completeness_score) == ("old", "then", None)
+
+
+def test_corpus_files_round_trip(spark, tmp_path):
+    import pytest
+
+    from corpusmill.sources import corpus_files
+
+    docs = spark.createDataFrame([("x-com", "a", "---\nurl: https://x.com/a\ntitle: A\n---\nbody"), ("x-com", "b", "---\nurl: https://x.com/b\n---\n"), ("x-com", "gone", "no frontmatter"), ("..", "evil", "---\nurl: u\n---\n"), ("x-com", "../up", "---\nurl: u\n---\n")], "domain string, slug string, document string")
+    corpus_files.write_pages(docs, str(tmp_path))
+    entries = spark.createDataFrame([("x-com", 1, "a", "https://x.com/a", "é", None, None, 3, 5, 1, ["t"], "active", None), ("x-com", 2, "missing", "https://x.com/m", "B", None, None, None, None, None, None, "active", None)], corpus_files.ENTRY)
+    corpus_files.write_manifests(entries, str(tmp_path), "2024-01-02T00:00:00Z")
+    assert [r.slug for r in corpus_files.load(spark, str(tmp_path)).collect()] == ["a"]
+    assert sorted(r.slug for r in corpus_files.load(spark, str(tmp_path), from_manifest=False).collect()) == ["a", "b"]
+    lines = [r.line for r in corpus_files.index_file(entries, "2024-01-02T00:00:00Z").orderBy("line_no").collect()]
+    assert lines[0] == "---" and lines[-2:] == ["1. é — https://x.com/a (~5 tokens)", "2. B — https://x.com/m"] and "*Generated: 2024-01-02 | 2 documents | ~5 tokens*" in lines
+    with pytest.raises(ValueError):
+        corpus_files.safe_name("../x")
+
+
+def test_fetch_retries_and_reports(spark):
+    from corpusmill.config import Settings, settings
+    from corpusmill.sources.fetch import fetch, history
+
+    def snapshot(url, given):
+        if url.endswith("/bad"):
+            raise OSError("refused")
+        return {"html": "<h1>x</h1>", "fetch_method": "static"}
+
+    found = spark.createDataFrame([("https://x.com/ok",), ("https://x.com/bad",), ("https://x.com/tag/x",), ("relative",), (None,)], "url string")
+    got = {r.url: r for r in fetch(found, Settings(request_delay_ms=0, max_retries=2), snapshot, lambda s: None).collect()}
+    assert set(got) == {"https://x.com/ok", "https://x.com/bad"}
+    assert got["https://x.com/ok"].final_url == "https://x.com/ok" and (got["https://x.com/bad"].attempts, got["https://x.com/bad"].error) == (3, "refused")
+    s = settings({"max_concurrency": 99, "scrape_timeout_ms": 1, "wait_for_ms": None, "post_interaction_delay_ms": 7, "unknown": 1})
+    assert (s.max_concurrency, s.scrape_timeout_ms, s.wait_for_ms) == (20, 5_000, 7) and settings(None) == Settings()
+    runs = spark.createDataFrame([("d", f"2024-01-{k:02d}", k % 2) for k in range(1, 9)], "domain string, scraped_at string, success_count int")
+    assert [r.scraped_at for r in history(runs, 2).collect()] == ["2024-01-07", "2024-01-05"]
+
+
+def test_streamed_manifest_equals_the_batch(spark, tmp_path):
+    from corpusmill.streaming.manifest import keep_manifest, read_entries, state_path
+
+    rng = random.Random(2)
+    rows = [(i, "d", f"s{rng.randrange(5)}", f"https://x.com/{rng.randrange(5)}") for i in range(30)]
+    schema = "seq int, domain string, slug string, url string"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 10 : k * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = read_entries(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    query = keep_manifest(stream, str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
+    got = sorted(r.seq for r in spark.read.parquet(state_path(str(tmp_path / "state"), last)).collect())
+    assert got == sorted(r.seq for r in corpus.survivors(spark.createDataFrame(rows, schema)).collect())
