@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import html
 from . import residue, spam
 from .blocks import ARTICLE, load_pages, with_repeats
-from .common import receive, send
+from .common import pages_with_host, receive, send, table
 
 
 def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True) -> DataFrame:
@@ -70,5 +72,18 @@ def p2_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("page_id", F.size("furniture").cast("bigint").alias("n_removed"), F.col("kept").alias("article"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_articles": p2_articles}
+def html_pages(fetches: DataFrame) -> DataFrame:
+    """page_id (the fetch's id), markdown, title, host of fetched HTML. Kept on the executors' disks, as several passes read it and parsing is the dear part."""
+    made = html.parse(fetches.where(F.col("html").isNotNull()), ["fetch_id", "url"])
+    rows = made.select(F.col("fetch_id").alias("page_id"), F.col("page.markdown").alias("markdown"), F.col("page.title").alias("title"), "url")
+    return pages_with_host(rows, None, ["page_id", "markdown", "title"]).persist(StorageLevel.DISK_ONLY)
+
+
+def p2_html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every fetched HTML document that is no such case: fetch_id, n_removed, article."""
+    lines = page_lines(html_pages(table(spark, sf_dir, "fetched_pages")))
+    return lines.select(F.col("page_id").alias("fetch_id"), F.size("furniture").cast("bigint").alias("n_removed"), F.col("kept").alias("article"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_articles": p2_articles, "p2_html_articles": p2_html_articles}
 ORACLE: dict[str, str] = {}
