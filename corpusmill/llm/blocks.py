@@ -18,11 +18,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pages_with_host, receive, send, single_blanks, table, trim_blanks
-from .counting import count_corpus, host_seed, line_form, signed
+from .counting import ASCII_LETTERS, count_corpus, host_seed, line_form, signed
 
 ARTICLE, FURNITURE, UNSURE = 1, 0, -1
 
@@ -71,7 +72,6 @@ _TRAIL = re.compile(r" (?:>|»|›|→) ")
 _CODE = ("code", ARTICLE, "", False, None)
 _KANA = re.compile(r"[぀-ヿ]")
 _WORD = re.compile(r"[^\W\d_]+")
-_ASCII_WORD = re.compile(r"[a-z]+")
 _END = (".", "!", "?", ":", ";", "。", "！", "？", "…", ".\"", ".)", "»", "\"")
 
 
@@ -83,17 +83,18 @@ def line_hashes(host: Column, markdown: Column) -> Column:
     return F.transform(F.array_distinct(forms), lambda x: F.struct(F.xxhash64(host, x).alias("key"), F.xxhash64(x).alias("form")))
 
 
-def repeated_lines(counts: DataFrame, pages: DataFrame, n_pages: int) -> DataFrame:
-    """key: hashes of (host, line) of the lines on many pages of their host, and of (line) of those on many pages of many hosts.
+def repeated_lines(counts: DataFrame) -> tuple[DataFrame, int]:
+    """key: hashes of (host, line) of the lines on many pages of their host, and of (line) of those on many pages of many hosts; and the number of pages.
 
-    counts is count_corpus() of the pages, n_pages their number.
+    counts is count_corpus().
     """
     by_host = counts.where(F.col("key").isNotNull())
-    hosts = pages.where(F.col("markdown").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    hosts = counts.where(F.col("key").isNull() & F.col("host").isNotNull()).select("host", F.col("n").alias("host_pages"))
+    n_pages = hosts.agg(F.sum("host_pages")).first()[0] or 0
     on_host = by_host.where(F.col("n") >= MIN_HOST_PAGES).join(hosts, "host").where(F.col("n") >= HOST_SHARE * F.col("host_pages")).select("key")
     spread = by_host.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_hosts"))
     common = spread.where((F.col("n_hosts") >= MIN_HOSTS) & (F.col("n") >= CORPUS_SHARE * n_pages)).select(F.col("form").alias("key"))
-    return on_host.union(common).distinct()
+    return on_host.union(common).distinct(), n_pages
 
 
 @dataclass
@@ -125,12 +126,12 @@ def _sentence(s: str) -> tuple[bool, list[str] | None]:
         return len(s) >= 12 and s.endswith(_END), None
     if not s.endswith(_END):
         return False, None
-    words = _ASCII_WORD.findall(s.lower()) if s.isascii() else _WORD.findall(s.lower())
+    words = s.lower().translate(ASCII_LETTERS).split() if s.isascii() else _WORD.findall(s.lower())
     if len(words) < 4:
         return False, words
     if len(s) > LONG:
         return not FUNCTION_WORDS.isdisjoint(words), words
-    known = sum(w in FUNCTION_WORDS for w in words)
+    known = sum(map(FUNCTION_WORDS.__contains__, words))
     return known > 0 and known >= 0.05 * len(words), words
 
 
@@ -140,7 +141,7 @@ def _decide(s: str, repeated: Callable[[str], str]) -> tuple[str, int, str, bool
         return "head", ARTICLE, "", False, None
     if s[0] == "|" and s[-1] == "|" and len(s) > 1:
         return "table", ARTICLE, "", False, None
-    m = _ITEM.match(s)
+    m = _ITEM.match(s) if s[0] in "-*+•0123456789" else None
     sort, body = ("item", s[m.end() :]) if m else ("text", s)
     found = _LINK.findall(body) if "](" in body else ()
     if found and sum(len(a) for a, _ in found) >= len(_LINK.sub("", body).strip(" |·•-–—,;/")):
@@ -149,7 +150,7 @@ def _decide(s: str, repeated: Callable[[str], str]) -> tuple[str, int, str, bool
         return sort, FURNITURE, repeated(s) or "links", m is not None, None
     if (m is None or found) and (why := repeated(s)):
         return sort, FURNITURE, why, False, None
-    if len(_TRAIL.findall(s)) > 1:
+    if (">" in s or "»" in s or "›" in s or "→" in s) and len(_TRAIL.findall(s)) > 1:
         return sort, FURNITURE, "trail", False, None
     if m is None and len(s) <= CUE_CHARS and _has_cue(s):
         return sort, FURNITURE, "cue", False, None
@@ -263,8 +264,7 @@ def with_repeats(pages: DataFrame, columns: list[str], counts: DataFrame | None
 
     own_keys is null where the keys are sent; where they are too many it holds each page's repeated keys, joined by key.
     """
-    n_pages = pages.where(F.col("markdown").isNotNull()).count()
-    keys = repeated_lines(count_corpus(pages, of_words=False) if counts is None else counts, pages, n_pages)
+    keys, n_pages = repeated_lines(count_corpus(pages, of_words=False).persist(StorageLevel.DISK_ONLY) if counts is None else counts)
     few = np.array([r.key for r in keys.limit(most + 1).toLocalIterator()], dtype=np.int64)
     if len(few) <= most:
         return pages.select(*columns, "host", F.lit(None).cast("array<bigint>").alias("own_keys")), Repeats(few, n_pages)

@@ -21,9 +21,12 @@ _SPACES = re.compile(r"  +")
 _ODD_BLANK = re.compile(f"[{BLANKS[1:]}]")
 _CJK = "぀-ヿ㐀-鿿"
 WORD = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+")
-_ASCII = re.compile(r"[a-z]+")
-_ASCII_LINES = re.compile(r"[a-z]+|\n")
-_WORD_LINES = re.compile(WORD.pattern + r"|\n")
+#: Stands for a line end among words.
+LINE_END = "\x01"
+LINE_END_APART = f" {LINE_END} "
+_WORD_LINES = re.compile(WORD.pattern + "|" + LINE_END)
+#: ASCII text with anything but lower-case letters and the line end as blanks.
+ASCII_LETTERS = {p: " " for p in range(128) if not (97 <= p < 123) and chr(p) != LINE_END}
 URL = re.compile(r"(?:https?://|www\.)\S+")
 _TARGET = re.compile(r"\]\([^)\n]*\)")
 
@@ -34,7 +37,7 @@ def words(line: str) -> list[str]:
         line = _TARGET.sub("] ", line)
     if "://" in line or "www." in line:
         line = URL.sub(" ", line)
-    return _ASCII.findall(line.lower()) if line.isascii() else WORD.findall(line.lower())
+    return line.lower().translate(ASCII_LETTERS).split() if line.isascii() else WORD.findall(line.lower())
 
 
 def line_form(line: str) -> bytes:
@@ -57,12 +60,17 @@ def page_forms(low: str) -> str:
 
 
 def page_words(low: str) -> list[str]:
-    """words() of all lines of a lower-case page, with a line end between the words of different lines."""
+    """words() of all lines of a lower-case page, with a line end between the words of different lines; lines may change places."""
     if "](" in low:
         low = _TARGET.sub("] ", low)
     if "://" in low or "www." in low:
         low = URL.sub(" ", low)
-    return _ASCII_LINES.findall(low) if low.isascii() else _WORD_LINES.findall(low)
+    if low.isascii():
+        return low.replace("\n", LINE_END_APART).translate(ASCII_LETTERS).split()
+    # Lines are taken by themselves, so plain ones go the quick way whatever stands between them.
+    lines = low.split("\n")
+    plain = LINE_END_APART.join([x for x in lines if x.isascii()]).translate(ASCII_LETTERS).split()
+    return [*plain, LINE_END, *_WORD_LINES.findall(LINE_END.join([x for x in lines if not x.isascii()]))]
 
 
 def signed(key: int) -> int:
@@ -82,36 +90,35 @@ def python_key(line: str, seed: int = 42) -> int:
 _SCHEMA = pa.schema([("host", pa.string()), ("key", pa.int64()), ("form", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
 
-def _lines(counts: dict[tuple[str, int, int], int]) -> pa.RecordBatch:
+def _lines(counts: dict[tuple[str, int | None, int | None], int]) -> pa.RecordBatch:
     host, key, form = zip(*counts, strict=True) if counts else ((), (), ())
     m = len(counts)
-    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(map(signed, key), pa.int64(), size=m), pa.array(map(signed, form), pa.int64(), size=m), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.array(counts.values(), pa.int64(), size=m)], schema=_SCHEMA)
+    whole = lambda x: None if x is None else signed(x)
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(map(whole, key), pa.int64(), size=m), pa.array(map(whole, form), pa.int64(), size=m), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.array(counts.values(), pa.int64(), size=m)], schema=_SCHEMA)
 
 
 class _Words:
     """Counts of words and of neighbouring words of one task. Words are numbered, so pairs are counted as whole numbers with numpy."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {"\n": 0}
+        self.number: dict[str, int] = {LINE_END: 0}
         self.single = np.zeros(0, dtype=np.int64)
         self.pairs: dict[int, int] = {}
 
     def add(self, w: list[str]) -> None:
         """Counts a list of words with line ends between the words of different lines."""
         number = self.number
-        try:
-            ids = np.array([number[x] for x in w], dtype=np.int64)
-        except KeyError:
-            for x in w:
-                if x not in number:
-                    number[x] = len(number)
-            ids = np.array([number[x] for x in w], dtype=np.int64)
+        for x in set(w).difference(number):
+            number[x] = len(number)
+        ids = np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w))
         seen = np.bincount(ids, minlength=len(self.single))
         seen[: len(self.single)] += self.single
         self.single = seen
-        code, n = np.unique((ids[:-1] << 32) | ids[1:], return_counts=True)
+        codes = (ids[:-1] << 32) | ids[1:]
+        codes.sort()
+        ends = np.append(np.flatnonzero(codes[1:] != codes[:-1]), len(codes) - 1) if len(codes) else np.zeros(0, dtype=np.int64)
         pairs = self.pairs
-        for c, k in zip(code.tolist(), n.tolist(), strict=True):
+        for c, k in zip(codes[ends].tolist(), np.diff(ends, prepend=-1).tolist(), strict=True):
             pairs[c] = pairs.get(c, 0) + k
 
     def __len__(self) -> int:
@@ -131,12 +138,12 @@ def count_corpus(pages: DataFrame, of_lines: bool = True, of_words: bool = True)
     """Counts over all pages (markdown, host), null markdown aside.
 
     Lines: host, key, form (hashes of host and line, and of the line), n = pages of the host with the line; headings and table
-    rows are left out. Words: a, b, n = how often b follows a in a line, b null for the word a itself. The columns
+    rows are left out. Hosts: host, n = its pages, key and form null. Words: a, b, n = how often b follows a in a line, b null for the word a itself. The columns
     of the other kind are null. Each task adds up its own counts before they are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, int], int] = {}
+        held: dict[tuple[str, int | None, int | None], int] = {}
         counted = _Words()
         digest = xxhash.xxh64_intdigest
         for batch in batches:
@@ -146,9 +153,10 @@ def count_corpus(pages: DataFrame, of_lines: bool = True, of_words: bool = True)
                     low = text.lower()
                     if of_words:
                         text_words += page_words(low)
-                        text_words.append("\n")
+                        text_words.append(LINE_END)
                     if of_lines:
                         seed = host_seed(host)
+                        held[host, None, None] = held.get((host, None, None), 0) + 1
                         for form in {s for x in page_forms(low).split("\n") if (s := x.strip()) and s[0] not in "#|"}:
                             data = form.encode("utf-8", "surrogatepass")
                             k = (host, digest(data, seed), digest(data, 42))
