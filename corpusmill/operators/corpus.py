@@ -14,14 +14,16 @@ from ..functions.dialect import blank_to_null, round_half_up
 def survivors(entries: DataFrame, order: str = "seq", by: str = "domain", slug: str = "slug", url: str = "url") -> DataFrame:
     """Entries left after upserting them in order: a later entry replaces all with its slug or its URL.
 
-    An entry stays if it is the last of its slug and the last of its URL, so two windows do instead of a join on
-    either. A null slug or URL equals only nulls. Both aggregates run before the sort of any group, so a hot domain is split by its slugs and URLs.
+    An entry stays if it is the last of its slug and the last of its URL. A null slug or URL equals only nulls. The last
+    numbers are aggregates, combined before the shuffle; the entries meet them by key and number together, so a slug or
+    URL with very many entries is spread over the tasks.
     """
     keyed = entries.withColumn("_norm", urls.normalize_persisted(url))
-    last_slug = F.max(order).over(Window.partitionBy(by, slug))
-    last_url = F.max(order).over(Window.partitionBy(by, "_norm"))
-    marked = keyed.withColumn("_s", last_slug).withColumn("_u", last_url)
-    return marked.where((F.col(order) == F.col("_s")) & (F.col(order) == F.col("_u"))).drop("_norm", "_s", "_u")
+    left = keyed
+    for key in (slug, "_norm"):
+        last = keyed.groupBy(F.col(by).alias("_by"), F.col(key).alias("_key")).agg(F.max(order).alias("_last"))
+        left = left.join(last, F.col(by).eqNullSafe(F.col("_by")) & F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_last")), "left_semi")
+    return left.drop("_norm")
 
 
 def totals(entries: DataFrame, by: str = "domain") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quality, urls
@@ -41,11 +41,10 @@ def million(x: F.Column) -> F.Column:
 
 @query
 def corpus_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched pages to documents' metadata: parse, clean, score, describe, upsert."""
+    """Fetched pages to documents' metadata: choose, parse, clean, score, describe."""
     made = pipeline.corpus_pages(read(spark, sf_dir, "fetched_pages"))
-    entries = made.withColumn("seq", F.col("fetch_id")).withColumn("domain", urls.domain_key("url"))
-    return corpus.survivors(entries).select(
-        "page_id", "domain", "slug", "url", "title", "description", "last_updated", "crawled_at", F.array_join("tags", ",").alias("tags"), "word_count", "token_estimate", "content_hash",
+    return made.select(
+        "page_id", urls.domain_key("url").alias("domain"), "slug", "url", "title", "description", "last_updated", "crawled_at", F.array_join("tags", ",").alias("tags"), "word_count", "token_estimate", "content_hash",
         F.size("chunk_sections").alias("section_count"), "completeness_score", "completeness_grade", F.size("warnings").alias("n_warnings"), F.size("resources").alias("n_resources"),
     )
 
@@ -246,11 +245,9 @@ def manifest_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unchanged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upserts that repeat the content of the entry they replace."""
-    m = read(spark, sf_dir, "manifest_entries").where("content_hash IS NOT NULL")
-    w = Window.partitionBy("domain", "slug").orderBy("seq")
-    same = m.withColumn("before", F.lag("content_hash").over(w)).where("before = content_hash")
-    return same.groupBy("domain").agg(F.count(F.lit(1)).alias("n_unchanged"))
+    """Upserts whose content their page had before, by domain."""
+    m = read(spark, sf_dir, "manifest_entries").where("content_hash IS NOT NULL").groupBy("domain", "slug", "content_hash").agg((F.count(F.lit(1)) - 1).alias("again"))
+    return m.groupBy("domain").agg(F.sum("again").alias("n_unchanged"))
 
 
 @query

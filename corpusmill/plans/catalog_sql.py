@@ -225,7 +225,7 @@ ORACLE = {
  SELECT domain, k AS line_no, k || '. ' || coalesce(nullif(title, ''), slug, '') || ' — ' || coalesce(url, '') || CASE WHEN token_estimate IS NULL THEN '' ELSE ' (~' || format('{{:,}}', token_estimate) || ' tokens)' END AS line FROM numbered""",
     "manifest_fresh": f"""WITH {_MANIFEST}, newest AS (SELECT strftime(CAST(substr(max(scraped_at), 1, 10) AS DATE) - INTERVAL 12 MONTH, '%Y-%m-%d') AS day FROM manifest)
  SELECT tag, count(*) AS n_entries, count(DISTINCT domain) AS n_domains FROM (SELECT unnest(tags) AS tag, domain FROM manifest WHERE substr(scraped_at, 1, 10) > (SELECT day FROM newest)) GROUP BY tag""",
-    "unchanged_entries": "SELECT domain, count(*) AS n_unchanged FROM (SELECT domain, content_hash, lag(content_hash) OVER (PARTITION BY domain, slug ORDER BY seq) AS before FROM manifest_entries WHERE content_hash IS NOT NULL) WHERE before = content_hash GROUP BY domain",
+    "unchanged_entries": "SELECT domain, sum(n - 1)::BIGINT AS n_unchanged FROM (SELECT domain, slug, content_hash, count(*) AS n FROM manifest_entries WHERE content_hash IS NOT NULL GROUP BY ALL) GROUP BY domain",
     "resume_join": f"""WITH {_SAVED}, by_url AS (SELECT norm, max(seq) AS seq FROM saved WHERE norm IS NOT NULL GROUP BY norm), by_slug AS (SELECT slug, max(seq) AS seq FROM saved WHERE slug IS NOT NULL GROUP BY slug),
  keyed AS (SELECT page_id, url, status, selected, {persisted('url')} AS k, {slug('url')} AS ks FROM discovered_pages)
  SELECT d.page_id, d.url, CASE WHEN u.seq IS NOT NULL THEN 'url' WHEN s.seq IS NOT NULL THEN 'slug' END AS matched_by, CASE WHEN coalesce(u.seq, s.seq) IS NOT NULL THEN 'done' ELSE d.status END AS status,

@@ -28,10 +28,16 @@ def quality_columns(pages: DataFrame, markdown: str = "markdown", title: str = "
     return scored.withColumn("grade", quality.grade(F.col("score")))
 
 
-def newest_fetch(fetches: DataFrame) -> DataFrame:
-    """One fetch a page: the newest with content."""
+def chosen_fetches(fetches: DataFrame) -> DataFrame:
+    """Fetches that end up as documents: the newest with content of each page and, of those, the survivors by file name and URL.
+
+    Decided on a few short columns before any page is parsed; of the texts only chosen rows go on.
+    """
     some = fetches.where((F.col("html") != "") | (F.col("markdown") != ""))
-    return corpus.latest(some, ["page_id"], "fetched_at")
+    light = some.select("fetch_id", "page_id", "fetched_at", F.coalesce(blank_to_null(F.col("final_url")), F.col("url")).alias("url"))
+    newest = light.groupBy("page_id").agg(F.max_by(F.struct("fetch_id", "url"), F.struct("fetched_at", "fetch_id")).alias("x")).select("x.*")
+    kept = corpus.survivors(newest.withColumn("domain", urls.domain_key("url")).withColumn("slug", urls.slug("url")), order="fetch_id")
+    return fetches.join(kept.select(F.col("fetch_id").alias("_f")), F.col("fetch_id") == F.col("_f"), "left_semi")
 
 
 def page_bodies(fetches: DataFrame, rag_optimized: bool = True) -> DataFrame:
@@ -43,11 +49,11 @@ def page_bodies(fetches: DataFrame, rag_optimized: bool = True) -> DataFrame:
 
 
 def corpus_pages(fetches: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Metadata, quality and text of every page: the newest fetch of each, cleaned, scored and described.
+    """Metadata, quality and text of every document: the chosen fetches, cleaned, scored and described.
 
     as_of is the time of the crawl where fetched_at does not say it.
     """
-    bodies = page_bodies(newest_fetch(fetches))
+    bodies = page_bodies(chosen_fetches(fetches))
     timed = bodies.withColumn("crawled_at", F.coalesce(F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(as_of)))
     described = timed.withColumn("description", H.meta_description(F.col("page"))).withColumn("last_updated", H.last_updated(F.col("page"))).drop("page", "markdown", "extracted_title", "final_url")
     scored = quality_columns(described, "body").withColumnsRenamed({"score": "completeness_score", "grade": "completeness_grade"})
@@ -55,7 +61,7 @@ def corpus_pages(fetches: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """Manifest entries of pages, ready for corpus.survivors."""
+    """Manifest entries of pages."""
     return pages.select(
         F.col("fetch_id").alias("seq"), urls.domain_key("url").alias("domain"), "slug", "url", "title", F.col("crawled_at").alias("scraped_at"), "content_hash", "word_count", "token_estimate",
         F.size("chunk_sections").alias("section_count"), "tags", F.lit("active").alias("status"), "document_type",
