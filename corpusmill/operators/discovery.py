@@ -40,12 +40,11 @@ def links(edges: DataFrame, by: str = "domain", src: str = "src", href: str = "h
 def crawl(graph: DataFrame, seeds: DataFrame, by: str, max_depth: int, includes: str = "", excludes: str = DEFAULT_EXCLUDES) -> DataFrame:
     """by, url, depth: pages reached from the seeds (by, url) over the graph (by, source, target) in at most max_depth steps.
 
-    A target outside the patterns is neither listed nor followed. One join and one anti-join a level, levels bounded by max_depth; each
+    A target outside the patterns is neither listed nor followed. The graph is read at every level, so hand in a written or checkpointed one. One join and one anti-join a level, levels bounded by max_depth; each
     level is cut from its history through the checkpoint folder of the session, so plans stay short and a lost executor
     does not walk the graph again.
     """
-    # Read at every level, so written once.
-    edges = graph.where(urls.matches_patterns("target", includes, excludes) & (F.col("source") != F.col("target"))).checkpoint()
+    edges = graph.where(urls.matches_patterns("target", includes, excludes) & (F.col("source") != F.col("target")))
     seen = seeds.select(F.col(by).alias("by"), F.col("url").alias("url")).distinct().withColumn("depth", F.lit(0))
     step = edges.select(F.col(by).alias("e_by"), F.col("source"), F.col("target"))
     frontier = seen

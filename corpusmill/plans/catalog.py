@@ -13,6 +13,7 @@ from ..operators import corpus, discovery, documents, pdf
 from ..operators.cleaner import clean
 from ..operators.sections import section_rows
 from ..sources import html as H
+from ..session import spread
 from . import pipeline
 from .catalog_sql import ORACLE
 
@@ -29,9 +30,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts for work by row, over all cores also where it is one small file."""
+    return spread(read(spark, sf_dir, name))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with markdown, and the fetch method of their stored report."""
-    rows = read(spark, sf_dir, "discovered_pages").where("markdown IS NOT NULL")
+    rows = read_texts(spark, sf_dir, "discovered_pages").where("markdown IS NOT NULL")
     return rows.withColumn("fetch_method", F.coalesce("completeness_report.fetch_method", F.lit("static")))
 
 
@@ -306,7 +312,7 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages reached in at most three steps from the front page of each domain, or, where no link starts there, from its smallest source."""
     _checkpoint_dir(spark)
-    graph = discovery.links(read(spark, sf_dir, "link_edges"))
+    graph = discovery.links(read(spark, sf_dir, "link_edges")).checkpoint()
     seeds = graph.groupBy("domain").agg(F.min("source").alias("url"))
     return discovery.crawl(graph, seeds, "domain", 3).withColumn("depth", F.col("depth").cast("bigint"))
 
@@ -321,34 +327,34 @@ def _checkpoint_dir(spark: SparkSession) -> None:
 @query
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title of every fetch: rendered, <title>, og:title, first h1 or URL."""
-    f = H.parse(read(spark, sf_dir, "fetched_pages"), ["fetch_id", "extracted_title", "final_url"], markdown=False)
+    f = H.parse(read_texts(spark, sf_dir, "fetched_pages"), ["fetch_id", "extracted_title", "final_url"], markdown=False)
     return f.select("fetch_id", H.page_title(F.col("extracted_title"), F.col("page"), F.col("final_url")).alias("title"))
 
 
 @query
 def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Description and date of every fetch's head."""
-    f = H.parse(read(spark, sf_dir, "fetched_pages"), ["fetch_id"], markdown=False)
+    f = H.parse(read_texts(spark, sf_dir, "fetched_pages"), ["fetch_id"], markdown=False)
     return f.select("fetch_id", H.meta_description(F.col("page")).alias("description"), H.last_updated(F.col("page")).alias("last_updated"))
 
 
 @query
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every fetch's HTML in order."""
-    f = H.parse(read(spark, sf_dir, "fetched_pages"), ["fetch_id"], markdown=False)
+    f = H.parse(read_texts(spark, sf_dir, "fetched_pages"), ["fetch_id"], markdown=False)
     return f.select("fetch_id", F.posexplode(H.anchors(F.col("page"))).alias("ord", "href")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = H.parse(read(spark, sf_dir, "fetched_pages").where("html IS NOT NULL"), ["fetch_id"])
+    f = H.parse(read_texts(spark, sf_dir, "fetched_pages").where("html IS NOT NULL"), ["fetch_id"])
     return f.select("fetch_id", F.length("page.markdown").alias("chars"), quality.count_headings("page.markdown").alias("headings"), F.sha2("page.markdown", 256).alias("hash"))
 
 
 @query
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PDFs linked from every fetched page, with their file names and titles."""
-    f = H.parse(read(spark, sf_dir, "fetched_pages"), ["fetch_id", "final_url"], markdown=False)
+    f = H.parse(read_texts(spark, sf_dir, "fetched_pages"), ["fetch_id", "final_url"], markdown=False)
     keyed = f.withColumn("final_url", F.concat(F.col("final_url"), F.lit("#"), F.col("fetch_id").cast("string")))
     named = pdf.unique_slugs(pdf.pdf_links(keyed, "final_url"))
     return named.select(F.substring_index("page_url", "#", -1).cast("bigint").alias("fetch_id"), F.col("ord").cast("bigint").alias("ord"), "pdf_url", "slug", urls.pdf_title("pdf_url", F.col("label")).alias("title"))

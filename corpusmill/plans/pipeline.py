@@ -9,6 +9,7 @@ from ..functions import quality, urls
 from ..functions.dialect import blank_to_null
 from ..operators import corpus, documents
 from ..operators.cleaner import clean
+from ..session import spread
 from ..sources import html as H
 
 
@@ -37,7 +38,7 @@ def chosen_fetches(fetches: DataFrame) -> DataFrame:
     light = some.select("fetch_id", "page_id", "fetched_at", F.coalesce(blank_to_null(F.col("final_url")), F.col("url")).alias("url"))
     newest = light.groupBy("page_id").agg(F.max_by(F.struct("fetch_id", "url"), F.struct("fetched_at", "fetch_id")).alias("x")).select("x.*")
     kept = corpus.survivors(newest.withColumn("domain", urls.domain_key("url")).withColumn("slug", urls.slug("url")), order="fetch_id")
-    return fetches.join(kept.select(F.col("fetch_id").alias("_f")), F.col("fetch_id") == F.col("_f"), "left_semi")
+    return spread(fetches).join(kept.select(F.col("fetch_id").alias("_f")), F.col("fetch_id") == F.col("_f"), "left_semi")
 
 
 def page_bodies(fetches: DataFrame, rag_optimized: bool = True) -> DataFrame:

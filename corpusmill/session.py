@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, app: str = "corpusmill", partitions: int | None = None, **conf: str) -> SparkSession:
@@ -28,3 +28,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as there are cores, where they fill less than half of them: a few small files. Larger inputs stay as they are read.
+
+    For tables as they are read: asking a joined frame for its tasks would already run its shuffles.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows

@@ -293,12 +293,12 @@ def meta_description(page: Column) -> Column:
 
 
 #: Formats in which a date is understood, most specific first.
-DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "EEE, dd MMM yyyy HH:mm:ss z", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
+DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "d MMM yyyy HH:mm:ss z", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
 
 
 def parse_date(value: Column) -> Column:
-    """yyyy-MM-dd of a date in one of DATE_FORMATS, in UTC; null for anything else."""
-    v = trim(value)
+    """yyyy-MM-dd of a date in one of DATE_FORMATS, a weekday before it aside, in UTC; null for anything else."""
+    v = F.regexp_replace(trim(value), "^[A-Za-z]{3,9}, ", "")
     return F.date_format(F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS)), "yyyy-MM-dd")
 
 

@@ -112,6 +112,12 @@ def test_heads(spark):
     assert (rows[2].t, rows[2].d, rows[2].l, rows[2].a) == ("u", None, None, None)
 
 
+def test_dates(spark):
+    values = ["2024-05-06", "2024-05-06T01:02:03Z", "Tue, 07 May 2024 10:00:00 GMT", "7 May 2024", "May 7, 2024", "2024/05/07", "last week", "", None, "2024-13-45", "06.05.2024"]
+    got = [r.d for r in spark.createDataFrame([(v,) for v in values], "v string").select(H.parse_date(F.col("v")).alias("d")).collect()]
+    assert got == ["2024-05-06", "2024-05-06", "2024-05-07", "2024-05-07", "2024-05-07", "2024-05-07", None, None, None, None, None]
+
+
 def test_pdf_links_and_names(spark):
     html = '<a href="/viewer?url=/d/a.pdf">First label</a><a href="https://x.com/d/a.pdf#p2">again</a><link href="/q/My%20File.pdf"><a href="/r/doc.pdf">d1</a><a href="/s/doc.pdf">d2</a><a href="/s/doc-2.pdf">d3</a><a href="no">n</a>'
     parsed = H.parse(spark.createDataFrame([("https://x.com/p", html), (None, html)], "page_url string, html string"), ["page_url"], markdown=False)
