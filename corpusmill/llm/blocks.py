@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pages_with_host, receive, send, single_blanks, table, trim_blanks
+from .common import pages_with_host, receive, send, single_blanks, texts, trim_blanks
 from .counting import ASCII_LETTERS, count_corpus, host_seed, line_form, signed
 
 ARTICLE, FURNITURE, UNSURE = 1, 0, -1
@@ -277,7 +277,7 @@ def with_repeats(pages: DataFrame, columns: list[str], counts: DataFrame | None
 
 def load_pages(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """Pages with markdown and the host of their URL; texts are not shuffled for it."""
-    return pages_with_host(table(spark, sf_dir, "discovered_pages"), None, ["page_id", "markdown", *extra])
+    return pages_with_host(texts(spark, sf_dir, "discovered_pages"), None, ["page_id", "markdown", *extra])
 
 
 def labelled_lines(pages: DataFrame, most: int = SEND_LINES) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts
 
 #: size_limits row 'section_chunk': characters divided by 4, rounded up.
 CHARS_PER_TOKEN = 4
@@ -181,7 +181,7 @@ def limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sections(table(spark, sf_dir, "discovered_pages"), *limit(spark, sf_dir, "section_chunk"))
+    return split_sections(texts(spark, sf_dir, "discovered_pages"), *limit(spark, sf_dir, "section_chunk"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

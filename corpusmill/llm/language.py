@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import receive, send, table
+from .common import receive, send, table, texts
 
 #: N-grams kept a language, and the penalty of a missing one.
 PROFILE = 1000
@@ -250,7 +250,7 @@ def document_languages(blocks: DataFrame) -> DataFrame:
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"), fit(table(spark, sf_dir, "lang_samples")))
+    return identify(texts(spark, sf_dir, "documents"), fit(table(spark, sf_dir, "lang_samples")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

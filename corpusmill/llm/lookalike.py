@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import receive, send, table
+from .common import receive, send, texts
 
 # Letters of other scripts drawn like a Latin letter.
 LOOKALIKES = {
@@ -227,14 +227,14 @@ def _texts(pages: DataFrame) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pages whose markdown or title looks the same and is not the same string."""
-    pages = table(spark, sf_dir, "discovered_pages")
+    pages = texts(spark, sf_dir, "discovered_pages")
     prints = fingerprints(pages, fit(_texts(pages)), "page_id", ["markdown", "title"])
     return same_look_pairs(prints).select(F.col("key_a").alias("page_a"), F.col("key_b").alias("page_b"), "field")
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and markdown of every page in their one form."""
-    pages = table(spark, sf_dir, "discovered_pages")
+    pages = texts(spark, sf_dir, "discovered_pages")
     return normalize_columns(pages, fit(_texts(pages)), "page_id", ["title", "markdown"])
 
 

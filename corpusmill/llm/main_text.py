@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources import html
 from . import residue, spam
 from .blocks import ARTICLE, load_pages, with_repeats
-from .common import pages_with_host, receive, send, table
+from .common import pages_with_host, receive, send, texts
 
 
 def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True) -> DataFrame:
@@ -81,7 +81,7 @@ def html_pages(fetches: DataFrame) -> DataFrame:
 
 def p2_html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every fetched HTML document that is no such case: fetch_id, n_removed, article."""
-    lines = page_lines(html_pages(table(spark, sf_dir, "fetched_pages")))
+    lines = page_lines(html_pages(texts(spark, sf_dir, "fetched_pages")))
     return lines.select(F.col("page_id").alias("fetch_id"), F.size("furniture").cast("bigint").alias("n_removed"), F.col("kept").alias("article"))
 
 

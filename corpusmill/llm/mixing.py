@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts
 from .tokens import VOCABULARY, token_counts
 
 BLOCK = 4_096
@@ -157,7 +157,7 @@ def _disk():
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and copies of the mixture that meets the targets."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of a mixture as large as all documents: the exponent gives way as far as the caps demand."""
-    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    docs, targets = texts(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
     sizes = token_counts(docs.where("text IS NOT NULL AND source IS NOT NULL"), ["doc_id", "source"], "text").persist(_disk())
     sources = usable(sizes, targets)
     return report(realise(sizes, sources, plan(sources, sum(s.tokens for s in sources.values()))[0]), targets)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts
 from .tokens import VOCABULARY, token_counts
 
 #: Documents a block; a block's containers are packed in one task.
@@ -109,7 +109,7 @@ def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in containers of both context sizes."""
-    return pack(table(spark, sf_dir, "documents"), _limits(spark, sf_dir))
+    return pack(texts(spark, sf_dir, "documents"), _limits(spark, sf_dir))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pages_with_host, single_blanks, table, trim_blanks
+from .common import pages_with_host, single_blanks, table, texts, trim_blanks
 
 MIN_CHARS = 20
 MIN_PAGES = 5
@@ -102,7 +102,7 @@ def rebuild(pages: DataFrame, changed: DataFrame, found: DataFrame, min_chars: i
 
 
 def _pages(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    pages = table(spark, sf_dir, "discovered_pages")
+    pages = texts(spark, sf_dir, "discovered_pages")
     late = F.coalesce(F.col("ingested_at") > F.col("discovered_at") + F.expr(f"INTERVAL {LATE_DAYS} DAYS"), F.lit(False))
     return pages_with_host(pages.withColumn("late", late), table(spark, sf_dir, "page_metadata"), ["page_id", "markdown", *extra])
 
