@@ -195,25 +195,19 @@ def label_lines(markdown: str, repeated: Callable[[str], str], memo: dict | None
             label[k], reason[k] = UNSURE, "above"
     # A heading or short label right before a list of links to pages belongs to the list.
     title = next((k for k in range(n) if kind[k] == "head"), -1)
-    for k in range(n - 1):
-        if links[k + 1] and groups[k + 1] - groups[k] <= 1 and k != title and not links[k]:
+    for k in [i - 1 for i, x in enumerate(links) if x and i]:
+        if groups[k + 1] - groups[k] <= 1 and k != title and not links[k]:
             if kind[k] == "head" or (kind[k] == "text" and label[k] == UNSURE and len(text[k]) < 80):
                 label[k] = FURNITURE
     # Ambiguous blocks inherit.
-    left, last = [-1] * n, -1
-    for k in range(n):
-        left[k] = last
-        if label[k] != UNSURE:
-            last = k
-    right, last = [n] * n, n
-    for k in range(n - 1, -1, -1):
-        right[k] = last
-        if label[k] != UNSURE:
-            last = k
     decided = label[:]
+    settled = [k for k in range(n) if decided[k] != UNSURE]
+    at = 0  # settled[at] is the first settled block behind the one looked at
     for k in range(n):
-        if decided[k] == UNSURE:
-            a, b = left[k], right[k]
+        if decided[k] != UNSURE:
+            at += 1
+        else:
+            a, b = settled[at - 1] if at else -1, settled[at] if at < len(settled) else n
             la = decided[a] if a >= 0 else FURNITURE
             lb = decided[b] if b < n and (k >= top or b < top) else FURNITURE
             if la == lb:

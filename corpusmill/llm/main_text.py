@@ -43,7 +43,7 @@ def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True)
                     n_residue, notice = residue.judge(page, bayes)
                     if n_residue or notice > residue.NOTICE_SHARE:
                         continue
-                if corpus is not None and spam.spam_share(page, corpus) > spam.SPAM_SHARE:
+                if corpus is not None and spam.is_stuffed(page, corpus):
                     continue
                 gone = [n for n, x in zip(page.number, page.label, strict=True) if x != ARTICLE]
                 kept = None
