@@ -26,7 +26,7 @@ from .common import receive, send, table, texts
 #: N-grams kept a language, and the penalty of a missing one.
 PROFILE = 1000
 #: Sample rows and characters a row that profiles may be fitted on (lang_samples has 132 short rows).
-SAMPLE_ROWS, SAMPLE_CHARS = 100_000, 10_000
+SAMPLE_ROWS, SAMPLE_CHARS = 20_000, 2_000
 MIN_LETTERS = 40
 #: Blocks counted together: bounds the memory of a task.
 CHUNK = 256
