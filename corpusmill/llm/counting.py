@@ -1,4 +1,4 @@
-"""One pass over the corpus that counts, for blocks.repeated_lines and spam.fit, lines by host and neighbouring words."""
+"""One pass over the corpus that counts, for blocks.repeated_lines and spam, lines by host and neighbouring words."""
 
 from __future__ import annotations
 

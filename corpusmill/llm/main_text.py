@@ -27,35 +27,39 @@ def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True)
     """
     counts = spam.kept_counts(pages)
     rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown", "title"], counts)
-    known, model = (spam.fit(counts), residue.fit(rows, repeats)) if without_cases else (None, None)
-    sent = send(pages.sparkSession, (known, model, repeats))
-    schema = pa.schema([("page_id", pa.int64()), ("furniture", pa.list_(pa.int64())), ("kept", pa.string())])
+    sent = send(pages.sparkSession, (residue.fit(rows, repeats) if without_cases else None, repeats))
+    schema = pa.schema([("page_id", pa.int64()), ("furniture", pa.list_(pa.int64())), ("kept", pa.string()), *spam.ACCOUNT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, bayes, lines = receive(sent)
+        bayes, lines = receive(sent)
         for batch in batches:
             ids, hosts, own = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = tuple([] for _ in schema)
             for i, t, host, keys in zip(ids, batch.column(1), hosts, own, strict=True):
                 markdown = t.as_py()
                 page = lines.label(markdown, host, keys)
+                row = (0, 0, 0, None)
                 if bayes is not None:
                     n_residue, notice = residue.judge(page, bayes)
                     if n_residue or notice > residue.NOTICE_SHARE:
                         continue
-                if corpus is not None and spam.is_stuffed(page, corpus):
-                    continue
+                    account = spam.short_account(page)
+                    if not account.open and spam.above(account.spam, account.good):
+                        continue
+                    row = spam.account_row(account, markdown, host)
                 gone = [n for n, x in zip(page.number, page.label, strict=True) if x != ARTICLE]
                 kept = None
                 if text:
                     drop = set(gone)
                     kept = "\n".join(x for n, x in enumerate(markdown.split("\n")) if n not in drop).strip()
-                out[0].append(i)
-                out[1].append(gone)
-                out[2].append(kept)
+                for column, x in zip(out, (i, gone, kept, *row), strict=True):
+                    column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return rows.select("page_id", "markdown", "host", "own_keys").mapInArrow(run, "page_id bigint, furniture array<bigint>, kept string")
+    made = rows.select("page_id", "markdown", "host", "own_keys").mapInArrow(run, f"page_id bigint, furniture array<bigint>, kept string, {spam.ACCOUNT_DDL}")
+    if without_cases:
+        made = spam.close(made.persist(StorageLevel.DISK_ONLY), counts).where(~spam.is_stuffed())
+    return made.select("page_id", "furniture", "kept")
 
 
 def _lines(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:

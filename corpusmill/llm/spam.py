@@ -1,10 +1,10 @@
 """Problem 1: pages of stuffed keywords, bare links or product, place and tag names instead of sentences.
 
 Pass one counts words and pairs of neighbouring words over the whole corpus (pre-aggregated in each task, one
-shuffle). Pairs of at least 1/PAIRS of all pairs are kept, so the table that is sent has at most PAIRS rows whatever the
-size of the corpus; a rarer pair counts as one just below that support. Pass two scores each page by itself: the mean pointwise
-mutual information of neighbouring words finds word salad, and collocations that take an excessive share of a
-page's pairs find stuffing. Site furniture, told by blocks.label_lines, stays out of the account.
+shuffle); all counts stay a table. Pass two takes each page by itself: collocations that take an excessive share of a page's
+pairs find stuffing. What may be word salad it hands on as pairs of words, to which the counts are joined by key: salad has a mean
+pointwise mutual information nearer to that of shuffled words than to that of the corpus. A page's own words do not speak
+for it. Site furniture, told by blocks.label_lines, stays out of the account.
 """
 
 from __future__ import annotations
@@ -16,16 +16,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import FUNCTION_WORDS, LONG, Page, load_pages, with_repeats
 from .common import receive, send
-from .counting import URL, count_corpus, words
+from .counting import URL, count_corpus, page_words, signed, words
 
-#: A pair (word) is kept from 1/PAIRS of all pairs (words) on: at most PAIRS rows are sent.
-PAIRS = 2**18
+#: Pairs, met and expected by chance alike, that are added to each count: an unseen pair of rare words tells nothing, one of frequent words much.
+SMOOTHING = 0.5
 #: A collocation with a content word dominates a page from this share of its pairs on, if it occurs so often.
 DOMINANT_SHARE, DOMINANT_COUNT = 0.03, 4
 #: Share of a line's words inside dominating collocations from which its sentences only repeat keywords.
@@ -34,8 +35,8 @@ COVERED = 0.30
 FUNCTION_SHARE = 0.07
 #: Lines below so many words that end without a stop are listings up to this share.
 LISTED_WORDS, LISTED_SHARE = 12, 0.25
-#: Share of the keyword-like lines' pairs that recur on the page, or mean PMI in nats, that make them stuffing or salad.
-RECURRING, SALAD_PMI = 0.35, 1.0
+#: Share of the keyword-like lines' pairs that recur on the page that makes them stuffing.
+RECURRING = 0.35
 #: A list of links under a label is a related list up to this length.
 RELATED = 10
 SPAM_SHARE = 0.5
@@ -48,34 +49,96 @@ TEMPLATE = re.compile(r"\{\{|\}\}|\{%|<%|\$\{|#\{|\[\[|<<\w|%%?\w+%|\$\w+\$|__\w
 
 @dataclass
 class Collocations:
-    """Corpus counts of words and pairs above the support, and the totals."""
+    """Corpus counts of words and pairs, and the totals: the account of associations() in one place, for small corpora."""
 
     single: dict[str, int]
     pairs: dict[tuple[str, str], int]
     n_words: int
     n_pairs: int
+    smoothing: float = 0.0
 
     def pmi(self, a: str, b: str) -> float:
-        """Pointwise mutual information in nats; pairs and words below the support count as just below it."""
-        if not self.n_pairs:
-            return 0.0
-        floor_w, floor_p = max(1.0, self.n_words / PAIRS), max(0.5, 0.5 * self.n_pairs / PAIRS)
-        both = self.pairs.get((a, b), floor_p) / self.n_pairs
-        return math.log(both * self.n_words / self.single.get(a, floor_w) * self.n_words / self.single.get(b, floor_w))
-
-
-def fit(counts: DataFrame) -> Collocations:
-    """Collocations of count_corpus(); the support bounds the rows that come to the driver to 2 * PAIRS."""
-    known = counts.where(F.col("a").isNotNull()).withColumn("word", F.col("b").isNull())
-    n = {r.word: r.n for r in known.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    least = F.when(F.col("word"), n.get(True, 0)).otherwise(n.get(False, 0))
-    single, pairs = {}, {}
-    for r in known.where(F.col("n") * PAIRS >= least).select("a", "b", "n").toLocalIterator():
-        if r.b is None:
-            single[r.a] = r.n
-        else:
-            pairs[r.a, r.b] = r.n
-    return Collocations(single, pairs, n.get(True, 0), n.get(False, 0))
+        """Pointwise mutual information in nats."""
+        chance = self.single.get(a, 0) / self.n_words * self.single.get(b, 0) / self.n_words * self.n_pairs
+        return math.log((self.pairs.get((a, b), 0) + self.smoothing) / (chance + self.smoothing))
+
+
+@dataclass
+class Account:
+    """Characters of a page that are stuffing and that are not, and the passages (characters if stuffing, if not, words of the lines) that their PMI decides."""
+
+    spam: int
+    good: int
+    open: list[tuple[int, int, list[list[str]]]]
+
+    def settle(self) -> None:
+        """Closes the passages where they cannot move the page over SPAM_SHARE, or back."""
+        most, rest = self.spam + sum(x[0] for x in self.open), self.good + sum(x[1] for x in self.open)
+        if not above(most, self.good):
+            self.spam, self.open = most, []
+        elif above(self.spam, rest):
+            self.good, self.open = rest, []
+
+
+def above(spam: int, good: int) -> bool:
+    return spam > SPAM_SHARE * (spam + good)
+
+
+def _words_and_pairs(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    known = counts.where(F.col("a").isNotNull())
+    return known.where(F.col("b").isNull()).select(F.col("a").alias("word"), F.col("n").alias("n_word")), known.where(F.col("b").isNotNull()).select("a", "b", "n")
+
+
+def _with_words(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    """pairs (a, b) with n_a and n_b, how often their words are in the corpus."""
+    for side in ("a", "b"):
+        pairs = pairs.join(single.select(F.col("word").alias(side), F.col("n_word").alias(f"n_{side}")), side, "left")
+    return pairs
+
+
+@dataclass
+class Associations:
+    """Totals of the corpus, and the mean PMI below which neighbouring words are salad."""
+
+    n_words: int
+    n_pairs: int
+    salad: float
+
+    def pmi(self, both: F.Column, a: F.Column, b: F.Column) -> F.Column:
+        """Pointwise mutual information in nats of a pair met so often, of words met so often."""
+        chance = a * b * F.lit(self.n_pairs / max(1, self.n_words) ** 2)
+        return F.log((both + F.lit(SMOOTHING)) / (chance + F.lit(SMOOTHING)))
+
+
+def associations(counts: DataFrame) -> Associations:
+    """Totals of count_corpus(), and the bound of salad: midway between the mean PMI of content words as they stand, each without its own
+    occurrence, and of the same words in random order.
+
+    Of the latter, the part of unseen pairs comes from the words in classes of like frequency (powers of two), that of seen ones from their counts.
+    """
+    single, pairs = _words_and_pairs(counts)
+    n_pairs = pairs.agg(F.sum("n")).first()[0] or 0
+    content = single.where(~F.col("word").isin(*FUNCTION_WORDS))
+    by_class = single.groupBy((~F.col("word").isin(*FUNCTION_WORDS)).alias("content"), F.floor(F.log2("n_word"))).agg(F.sum("n_word").alias("n"), F.count("*").alias("m")).collect()
+    n_words, n_content = sum(r.n for r in by_class), sum(r.n for r in by_class if r.content)
+    known = Associations(n_words, n_pairs, 0.0)
+    if not n_pairs or not n_content:
+        return known
+    inner = pairs.where(~F.col("a").isin(*FUNCTION_WORDS) & ~F.col("b").isin(*FUNCTION_WORDS))
+    share = lambda side: F.col(f"n_{side}") / F.lit(n_content)
+    r = (
+        _with_words(inner, content)
+        .agg(
+            (F.sum(F.col("n") * known.pmi(F.col("n") - 1, F.col("n_a") - 1, F.col("n_b") - 1)) / F.sum("n")).alias("standing"),
+            F.sum(share("a") * share("b") * F.log1p(F.col("n") / F.lit(SMOOTHING))).alias("seen"),
+        )
+        .first()
+    )
+    if r.standing is None:
+        return known
+    classes = [(x.n / n_content, x.n / x.m) for x in by_class if x.content]
+    unseen = sum(p * q * math.log(SMOOTHING / (a * b * n_pairs / n_words**2 + SMOOTHING)) for p, a in classes for q, b in classes)
+    return Associations(n_words, n_pairs, (r.standing + r.seen + unseen) / 2)
 
 
 def _function_share(line: str, w: list[str]) -> float:
@@ -84,14 +147,11 @@ def _function_share(line: str, w: list[str]) -> float:
     return sum(map(FUNCTION_WORDS.__contains__, w)) / max(1, len(w))
 
 
-def _mean_pmi(w: list[str], known: Collocations) -> float:
-    return sum(known.pmi(a, b) for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1) if len(w) > 1 else 0.0
-
-
-def spam_share(page: Page, known: Collocations) -> float:
-    """Share of the characters besides furniture that are stuffed keywords, bare links or names; 0 for a page without text."""
+def account(page: Page) -> Account:
+    """The characters besides furniture: stuffed keywords, bare links or names, others, and passages that may be salad."""
     n = len(page.text)
     good = spam = 0
+    unsettled: list[tuple[int, int, list[list[str]]]] = []
     title = next((k for k in range(n) if page.kind[k] == "head"), -1)
     ordered: list[tuple[int, list[str]]] = []
     k = 0
@@ -157,8 +217,8 @@ def spam_share(page: Page, known: Collocations) -> float:
             spam += len(text)
         elif not ended and (share < FUNCTION_SHARE or (share < LISTED_SHARE and len(w) < LISTED_WORDS)):
             pool.append((k, w))
-        elif ended and share < FUNCTION_SHARE and len(w) >= LISTED_WORDS and _mean_pmi(w, known) < SALAD_PMI:
-            spam += len(text)
+        elif ended and share < FUNCTION_SHARE and len(w) >= LISTED_WORDS:
+            unsettled.append((len(text), len(text), [w]))
         else:
             good += len(text)
     if pool:
@@ -167,18 +227,20 @@ def spam_share(page: Page, known: Collocations) -> float:
         single = Counter(x for _, w in pool for x in w)
         names = sum(single.values())
         recurring = sum(c for c in single.values() if c >= 3) / names
-        mean = sum(known.pmi(a, b) for a, b in mine) / len(mine) if mine else 0.0
         size = sum(len(page.text[k]) for k, _ in pool)
-        stuffed = names >= 20 and (recurring >= 2 * RECURRING or (mine and again >= RECURRING * len(mine)) or mean < SALAD_PMI)
-        if stuffed:
+        # a line that many hosts have is furniture unless it is stuffing
+        own = sum(len(page.text[k]) for k, _ in pool if page.reason[k] != "common")
+        if names >= 20 and (recurring >= 2 * RECURRING or again >= RECURRING * len(mine)):
             spam += size
-        else:  # a line that many hosts have is furniture unless it is stuffing
-            good += sum(len(page.text[k]) for k, _ in pool if page.reason[k] != "common")
-    return spam / (spam + good) if spam + good else 0.0
+        elif names >= 20:
+            unsettled.append((size, own, [w for _, w in pool]))
+        else:
+            good += own
+    return Account(spam, good, unsettled)
 
 
-def is_stuffed(page: Page, known: Collocations) -> bool:
-    """Whether spam_share() is above SPAM_SHARE. Pages of prose without a frequent content word are told by a bound on it."""
+def short_account(page: Page) -> Account:
+    """An account on the same side of SPAM_SHARE as account(), settled where it can be. Pages of prose without a frequent content word are told by a bound on it."""
     sure = doubt = pairs = 0
     every: list[str] = []
     for k, text in enumerate(page.text):
@@ -200,38 +262,103 @@ def is_stuffed(page: Page, known: Collocations) -> bool:
             if why != "links":
                 every += words(text)
     if sure * SPAM_SHARE >= doubt * (1 - SPAM_SHARE):
-        least = max(DOMINANT_COUNT, DOMINANT_SHARE * pairs)  # of fewer pairs than spam_share() counts: too low, if anything
+        least = max(DOMINANT_COUNT, DOMINANT_SHARE * pairs)  # of fewer pairs than account() counts: too low, if anything
         if not any(c >= least and x not in FUNCTION_WORDS for x, c in Counter(every).items()):
-            return False
-    return spam_share(page, known) > SPAM_SHARE
-
-
-def spam_pages(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """page_id, spam_share of each page (page_id, markdown, host). Null markdown gives no row, an empty page share 0. counts is count_corpus() of the pages, made here if absent."""
+            return Account(0, sure, [])
+    told = account(page)
+    told.settle()
+    return told
+
+
+#: Columns of a page's account: a hash that tells pages of one page_id apart, characters, and the open passages with their pairs of words - how
+#: often in the passage, and how often the page has the pair and its words.
+_PAIR = pa.struct([("a", pa.string()), ("b", pa.string()), ("k", pa.int64()), ("own", pa.int64()), ("own_a", pa.int64()), ("own_b", pa.int64())])
+ACCOUNT = [("digest", pa.int64()), ("spam", pa.int64()), ("good", pa.int64()), ("open", pa.list_(pa.struct([("spam", pa.int64()), ("good", pa.int64()), ("pairs", pa.list_(_PAIR))])))]
+ACCOUNT_DDL = "digest bigint, spam bigint, good bigint, open array<struct<spam: bigint, good: bigint, pairs: array<struct<a: string, b: string, k: bigint, own: bigint, own_a: bigint, own_b: bigint>>>>"
+
+
+def account_row(told: Account, markdown: str, host: str) -> tuple:
+    """The columns of ACCOUNT; open is null where nothing is."""
+    if not told.open:
+        return 0, told.spam, told.good, None
+    w = page_words(markdown.lower())
+    single, both = Counter(w), Counter(zip(w, w[1:], strict=False))
+    digest = signed(xxhash.xxh64_intdigest(f"{host}\n{markdown}".encode("utf-8", "surrogatepass")))
+    passages = []
+    for spam, good, lines in told.open:
+        pairs = Counter(p for x in lines for p in zip(x, x[1:], strict=False))
+        passages.append({"spam": spam, "good": good, "pairs": [{"a": a, "b": b, "k": k, "own": both[a, b], "own_a": single[a], "own_b": single[b]} for (a, b), k in pairs.items()]})
+    return digest, told.spam, told.good, passages
+
+
+def close(accounts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of accounts (page_id, columns of ACCOUNT, others) with every passage settled by the corpus counts: without digest and open. accounts is read twice.
+
+    Only open passages move: each distinct pair of them meets the counts once, and only those rows are joined to their verdict.
+    """
+    known = associations(counts)
+    single, pairs = _words_and_pairs(counts)
+    undecided = accounts.where(F.col("open").isNotNull())
+    passage = undecided.select("page_id", "digest", F.posexplode("open").alias("no", "o")).select("page_id", "digest", "no", F.col("o.spam").alias("if_spam"), F.col("o.good").alias("if_good"), F.explode_outer("o.pairs").alias("p")).select("page_id", "digest", "no", "if_spam", "if_good", "p.*")
+    met = _with_words(passage.where(F.col("a").isNotNull()).select("a", "b").distinct().join(pairs, ["a", "b"], "left"), single)
+    others = lambda n, own: F.greatest(F.coalesce(F.col(n), F.lit(0)) - F.col(own), F.lit(0))
+    verdict = (
+        passage.join(met, ["a", "b"], "left")
+        .groupBy("page_id", "digest", "no", "if_spam", "if_good")
+        .agg((F.sum(F.col("k") * known.pmi(others("n", "own"), others("n_a", "own_a"), others("n_b", "own_b"))) / F.sum("k")).alias("mean"))
+        .withColumn("salad", F.col("mean").isNull() | (F.col("mean") < F.lit(known.salad)))
+        .groupBy("page_id", "digest")
+        .agg(F.sum(F.when(F.col("salad"), F.col("if_spam")).otherwise(0)).alias("if_spam"), F.sum(F.when(F.col("salad"), 0).otherwise(F.col("if_good"))).alias("if_good"))
+    )
+    closed = undecided.join(verdict, ["page_id", "digest"], "left").withColumns({"spam": F.col("spam") + F.col("if_spam"), "good": F.col("good") + F.col("if_good")})
+    columns = [c for c in accounts.columns if c not in ("digest", "open")]
+    return accounts.where(F.col("open").isNull()).select(*columns).unionByName(closed.select(*columns))
+
+
+def share() -> F.Column:
+    """spam_share of an account; 0 for a page without text."""
+    return F.when(F.col("spam") + F.col("good") > 0, F.col("spam") / (F.col("spam") + F.col("good"))).otherwise(0.0)
+
+
+def is_stuffed() -> F.Column:
+    return share() > SPAM_SHARE
+
+
+def spam_pages(pages: DataFrame, counts: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """page_id, spam_share of each page (page_id, markdown, host). Null markdown gives no row, an empty page share 0. counts is count_corpus() of the pages, made here if absent.
+
+    Shares that need not be exact are on the right side of SPAM_SHARE.
+    """
     counts = kept_counts(pages) if counts is None else counts
-    known = fit(counts)
     rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown"], counts)
-    sent, told = send(pages.sparkSession, known), send(pages.sparkSession, repeats)
-    schema = pa.schema([("page_id", pa.int64()), ("spam_share", pa.float64())])
+    told = send(pages.sparkSession, repeats)
+    schema = pa.schema([("page_id", pa.int64()), *ACCOUNT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, lines = receive(sent), receive(told)
+        lines = receive(told)
         for batch in batches:
             ids, hosts, own = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            shares = [spam_share(lines.label(t.as_py(), h, o), corpus) for t, h, o in zip(batch.column(1), hosts, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shares, pa.float64())], schema=schema)
+            made = []
+            for t, h, o in zip(batch.column(1), hosts, own, strict=True):
+                markdown = t.as_py()
+                page_account = account(lines.label(markdown, h, o))
+                if not exact:
+                    page_account.settle()
+                made.append(account_row(page_account, markdown, h))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([m[k] for m in made], kind) for k, (_, kind) in enumerate(ACCOUNT))], schema=schema)
 
-    return rows.mapInArrow(run, "page_id bigint, spam_share double")
+    accounts = rows.mapInArrow(run, f"page_id bigint, {ACCOUNT_DDL}").persist(StorageLevel.DISK_ONLY)
+    return close(accounts, counts).select("page_id", share().alias("spam_share"))
 
 
 def kept_counts(pages: DataFrame) -> DataFrame:
-    """Counts of the corpus, kept on the executors' disks for their two readers; a lost part is counted again."""
+    """Counts of the corpus, kept on the executors' disks for their readers; a lost part is counted again."""
     return count_corpus(pages).persist(StorageLevel.DISK_ONLY)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are more than half stuffed keywords, bare links or names."""
-    return spam_pages(load_pages(spark, sf_dir)).where(F.col("spam_share") > SPAM_SHARE).select("page_id")
+    return spam_pages(load_pages(spark, sf_dir), exact=False).where(F.col("spam_share") > SPAM_SHARE).select("page_id")
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

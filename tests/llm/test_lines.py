@@ -71,6 +71,31 @@ def test_pmi_counts_cover_everything(spark):
     assert abs(c.pmi("a", "b") - np.log(3 / 4 * 7 / 4 * 7 / 3)) < 1e-12
 
 
+def test_shuffled_words_are_salad_however_rare(spark):
+    # 20 000 words of 1/20 000 each, every one mostly followed by the next: in random order they mean nothing.
+    letters = lambda k: F.concat(F.lit("w"), F.translate(k.cast("string"), "0123456789", "abcdefghij"))
+    word = lambda k: "w" + "".join("abcdefghij"[int(c)] for c in str(k % 20_000))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("host", "string"), ("key", "bigint"), ("form", "bigint"))]
+    k = F.col("id")
+    single = spark.range(20_000).select(*nothing, letters(k).alias("a"), F.lit(None).cast("string").alias("b"), F.lit(200).cast("bigint").alias("n"))
+    both = spark.range(20_000).select(*nothing, letters(k).alias("a"), letters((k + 1) % 20_000).alias("b"), F.lit(150).cast("bigint").alias("n"))
+    order = np.random.default_rng(1).permutation(20_000)
+    rows = [(k, ", ".join(map(word, order[60 * k : 60 * k + 60])), None, "h.example", False) for k in range(5)]
+    rows += [(10 + k, ", ".join(map(word, range(70 * k, 70 * k + 60))), None, "h.example", False) for k in range(5)]
+    df = pages(spark, rows)
+    counts = counting.count_corpus(df, of_words=False).unionByName(single).unionByName(both)
+    want = {k: 1.0 for k in range(5)} | {10 + k: 0.0 for k in range(5)}
+    assert {r.page_id: r.spam_share for r in spam.spam_pages(df, counts).collect()} == want
+    assert {r.page_id: r.spam_share for r in spam.spam_pages(df, counts, exact=False).collect()} == want
+
+
+def test_a_page_does_not_speak_for_itself(spark):
+    rows = [(k, f"{PROSE} The {chr(97 + k) * 4} part of it is another one.", None, f"h{k}.example", False) for k in range(12)]
+    alone = " ".join(f"q{chr(97 + k)}{chr(97 + k * 7 % 26)}x" for k in range(25))
+    got = {r.page_id: r.spam_share for r in spam.spam_pages(pages(spark, [*rows, (20, alone, None, "s.example", False), (20, PROSE, None, "s.example", False)])).collect() if r.page_id == 20 and r.spam_share > 0}
+    assert got == {20: 1.0}
+
+
 def test_residue_and_notices(spark):
     bad = [(20 + k, f"# 404 Not Found\n\nThe page {k} you are looking for could not be found on this server.", "404", f"h{k}.example", False) for k in range(6)]
     bad += [(40 + k, f"# P\n\n{PROSE} Item {k}.\n\nDear {{{{ customer.name }}}}, thank you for order {k}.", "P", f"g{k}.example", False) for k in range(6)]
