@@ -6,7 +6,8 @@ positives: passages with template syntax or a stock filler phrase, and short rec
 passages are unlabelled: they start as ordinary text and take the model's own opinion in each round. The model is fitted on at most
 FIT_RECORDS records chosen by hash; every record is then scored.
 
-A record is a case if a passage outside code is residue, or if notices make up most of its content besides site furniture.
+A passage is residue as a whole, by one of its sentences, or by the tokens around one of its marks: prose around a field or filler does not
+outweigh it. A record is a case if a passage outside code is residue, or if notices make up most of its content besides site furniture.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SHORT = 700
 RESIDUE_ODDS, FIRM_ODDS, NOTICE_ODDS, NOTICE_SHARE = 2.0, 8.0, 0.0, 0.5
 #: A passage without a token of such log-odds is ordinary.
 TELLING = 1.5
+#: Tokens on either side of a mark that may belong to the same field.
+REACH = 8
 ORDINARY, RESIDUE, NOTICE = range(3)
 
 # Syntax of unfilled template fields.
@@ -78,6 +81,7 @@ _SPAN = re.compile(r"`[^`\n]*`")
 _TOKEN = re.compile(r"[^\W\d_]+|[{}\[\]<>%$#@|_…]+")
 _MARK = re.compile(r"[`{}\[\]<>%$#@|_…]")
 _SHORT = "\x01short"
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -130,6 +134,7 @@ class NaiveBayes:
     prior: tuple[float, float]
 
     def __post_init__(self) -> None:
+        self.residue_telling = frozenset(w for w, x in self.residue.items() if x >= TELLING)
         self.telling = frozenset(w for g in (self.residue, self.notice) for w, x in g.items() if x >= TELLING)
         self.memo: dict[str, tuple[bool, bool]] = {}
 
@@ -147,6 +152,38 @@ class NaiveBayes:
         return self.prior[0] + sum([r[w] for w in found if w in r]), self.prior[1] + sum([n[w] for w in found if w in n])
 
 
+def _best_run(gains: list[float]) -> int:
+    """How many of the first gains make the largest sum."""
+    best = total = 0.0
+    taken = 0
+    for k, g in enumerate(gains, 1):
+        total += g
+        if total > best:
+            best, taken = total, k
+    return taken
+
+
+def holds_residue(text: str, found: list[str], short: bool, model: NaiveBayes) -> bool:
+    """Whether a sentence of a passage, or the tokens around one of its marks, are residue by themselves."""
+    parts = []
+    if len(pieces := _SENTENCE_END.split(_SPAN.sub(" ", text))) > 1:
+        parts += [tokens(x, short) for x in pieces]
+    gains = [model.residue.get(w, 0.0) for w in found]
+    for k, w in enumerate(found):
+        if _MARK.match(w):
+            left, right = gains[max(0, k - REACH) : k], gains[k + 1 : k + 1 + REACH]
+            parts.append(found[k - _best_run(left[::-1]) : k + 1 + _best_run(right)])
+    for part in parts:
+        # A lone sign - a percentage, a sum of money - is no evidence without prose to weigh it against: two telling words or kinds of marks, or a run of marks.
+        marks = {w for w in part if _MARK.match(w) and w in model.residue_telling}
+        said = sum(w in model.residue_telling and w not in marks for w in part)
+        if len(marks) + said > 1 or any(len(w) > 1 for w in marks):
+            residue, note = model.odds(part)
+            if residue > RESIDUE_ODDS and residue > note:
+                return True
+    return False
+
+
 def learn(rows: list[tuple[list[str], int]], rounds: int = ROUNDS) -> NaiveBayes:
     """EM over (tokens, class) rows, class -1 for unlabelled.
 
@@ -213,6 +250,8 @@ def judge(page: Page, model: NaiveBayes) -> tuple[int, float]:
         residue, note = (-1.0, -1.0) if model.telling.isdisjoint(found) else model.odds(found)
         if residue > (FIRM_ODDS if kind == "head" else RESIDUE_ODDS) and residue > note:
             n_residue += 1
+        elif kind != "head" and not model.residue_telling.isdisjoint(found) and holds_residue(text, found, short, model):
+            n_residue += 1
         if kind != "head":
             if note > NOTICE_ODDS and note >= residue:
                 notice += len(text)

@@ -106,6 +106,20 @@ def test_residue_and_notices(spark):
     assert residue.judged_pages(site(spark).limit(0)).count() == 0
 
 
+def test_a_field_inside_long_prose_is_found(spark):
+    marked = [(40 + k, f"# P\n\n{PROSE} Item {k}.\n\nDear {{{{ customer.name }}}}, thank you for order {k}.\n\nLorem ipsum dolor sit amet consectetur.", "P", f"g{k}.example", False) for k in range(6)]
+    own = [f"{PROSE} {' '.join(chr(97 + (k * j) % 23) * 3 for j in range(5))}".split() for k in range(60)]
+    prose = lambda n, k: [own[(k + j // 30) % 60][j % 30 % len(own[0])] for j in range(n)]
+    rows = []
+    for k, n in enumerate((15, 50, 300)):
+        w = prose(n, k)
+        for i, field in enumerate(("{{ product.name }}", "", "20 % at $ 5", "Lorem ipsum dolor sit amet consectetur adipiscing.")):
+            text = " ".join([*w[: n // 2], *([field] if field else []), *w[n // 2 :]]) if i < 3 else f"{PROSE} {field} {' '.join(w)}"
+            rows.append((100 + 10 * k + i, f"# P\n\n{text}", "P", f"k{k}{i}.example", False))
+    got = {r.page_id for r in residue.judged_pages(site(spark, [*marked, *rows])).collect() if r.n_residue}
+    assert got == set(range(40, 46)) | {100 + 10 * k + i for k in range(3) for i in (0, 3)}
+
+
 def test_learning_needs_trusted_records():
     assert residue.learn([]).odds(["x"]) == (-50.0, -50.0)
     assert residue.learn([(["x"], -1)] * 5).odds(["x"])[0] < 0
