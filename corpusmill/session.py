@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,11 @@ def build(master: str | None = None, app: str = "corpusmill", partitions: int |
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, made known to Spark; a fresh local folder only where the setting is missing."""
+    """spark.checkpoint.dir of the session, made known to Spark. Only a local master without the setting gets a fresh local folder; a cluster must name a shared one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -30,6 +33,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, computed now and written as a table into the shared folder, for results that several later steps read.
+
+    Unlike a cache it is computed once also where its readers start together, and outlives the executors that made it.
+    """
+    path = f"{checkpoint_dir(rows.sparkSession)}/stored/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over as many tasks as there are cores, where they fill less than half of them: a few small files. Larger inputs stay as they are read.
 
