@@ -18,10 +18,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import pages_with_host, receive, send, single_blanks, texts, trim_blanks
 from .counting import ASCII_LETTERS, count_corpus, host_seed, line_form, signed
 
@@ -43,18 +43,6 @@ FUNCTION_WORDS = frozenset(
     ).split()
 )
 
-# Phrases of consent, legal, date, share, feedback and newsletter lines, in lower case.
-CUES = (
-    "©", "all rights reserved", "tous droits réservés", "todos los derechos reservados", "alle rechte vorbehalten", "tutti i diritti riservati", "todos os direitos reservados",
-    "cookie", "terms of use", "privacy policy", "privacy centre", "mentions légales", "aviso legal", "impressum", "datenschutz",
-    "newsletter", "unsubscribe", "subscribe to", "abonnez-vous", "suscríbase", "abonnieren sie", "rundbrief", "straight to your inbox",
-    "last updated", "last modified", "mis à jour il y a", "actualizado hace", "zuletzt geändert", "reading time", "lesezeit", "minutes de lecture", "minutos de lectura",
-    "share this page", "partager cette page", "compartir esta página", "seite teilen", "print this page", "print this article", "send it to a colleague",
-    "was this page helpful", "cette page vous a-t-elle", "le ha servido esta página", "war diese seite hilfreich", "found a mistake", "une erreur ?", "ha visto un error", "fehler gefunden",
-    "without warranty", "without any warranty", "sans garantie", "sin garantía", "ohne gewähr", "not liable", "haftet nicht",
-)
-#: Longest line that a cue alone decides.
-CUE_CHARS = 180
 #: From this length on a block that reads like prose is article text wherever it stands.
 LONG = 200
 
@@ -62,8 +50,8 @@ MIN_HOST_PAGES, HOST_SHARE = 5, 0.10
 MIN_HOSTS, CORPUS_SHARE = 5, 0.001
 #: Short lines whose verdict a task remembers.
 MEMO = 300_000
-#: Rows up to which the table of repeated lines is sent to the tasks (8 bytes a row).
-SEND_LINES = 4_000_000
+#: Rows up to which the table of repeated lines is sent to the tasks, some 65 bytes a row in the set of each Python worker.
+SEND_LINES = 500_000
 
 _LINK = re.compile(r"!?\[([^\]]*)\]\(([^()\s]*)[^()]*\)")
 _ITEM = re.compile(r"(?:[-*+•]|\d{1,3}[.)]) +")
@@ -101,7 +89,7 @@ def repeated_lines(counts: DataFrame) -> tuple[DataFrame, int]:
 class Page:
     """Non-blank lines of a page: line_no, trimmed text, label; kind: 'code', 'table', 'head', 'item', 'text'.
 
-    reason: 'repeat' (on its host), 'common' (on many hosts), 'cue' or 'trail' for furniture by its own evidence, 'links' for lines of links that are
+    reason: 'repeat' (on its host), 'common' (on many hosts) or 'trail' for furniture by its own evidence, 'links' for lines of links that are
     not repeated, 'above' for prose above the title, 'prose' for article text by rule, '' for the rest. block: number of the run of lines between blank ones.
     words: lower-case words of a line without links, where the rules needed them.
     """
@@ -115,11 +103,6 @@ class Page:
     words: list[list[str] | None] = field(default_factory=list)
 
 
-def _has_cue(s: str) -> bool:
-    low = s.lower()
-    return any(cue in low for cue in CUES)
-
-
 def _sentence(s: str) -> tuple[bool, list[str] | None]:
     """Whether a line reads like prose: it ends like a sentence, with enough words and function words. Also its words, where they were needed."""
     if not s.isascii() and _KANA.search(s):
@@ -152,8 +135,6 @@ def _decide(s: str, repeated: Callable[[str], str]) -> tuple[str, int, str, bool
         return sort, FURNITURE, why, False, None
     if (">" in s or "»" in s or "›" in s or "→" in s) and len(_TRAIL.findall(s)) > 1:
         return sort, FURNITURE, "trail", False, None
-    if m is None and len(s) <= CUE_CHARS and _has_cue(s):
-        return sort, FURNITURE, "cue", False, None
     prose, own = _sentence(body)
     return sort, ARTICLE if prose else UNSURE, "prose" if prose else "", False, None if found else own
 
@@ -258,7 +239,7 @@ def with_repeats(pages: DataFrame, columns: list[str], counts: DataFrame | None
 
     own_keys is null where the keys are sent; where they are too many it holds each page's repeated keys, joined by key.
     """
-    keys, n_pages = repeated_lines(count_corpus(pages, of_words=False).persist(StorageLevel.DISK_ONLY) if counts is None else counts)
+    keys, n_pages = repeated_lines(stored(count_corpus(pages, of_words=False)) if counts is None else counts)
     few = np.array([r.key for r in keys.limit(most + 1).toLocalIterator()], dtype=np.int64)
     if len(few) <= most:
         return pages.select(*columns, "host", F.lit(None).cast("array<bigint>").alias("own_keys")), Repeats(few, n_pages)

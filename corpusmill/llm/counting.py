@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS
 
 #: Entries a task holds before it hands on its partial counts, and pages looked at together.
-HELD, TOGETHER = 400_000, 500
+HELD, TOGETHER = 400_000, 1_000
 
 _DIGITS = re.compile(r"[0-9]+")
 _SPACES = re.compile(r"  +")
@@ -29,6 +30,13 @@ _WORD_LINES = re.compile(WORD.pattern + "|" + LINE_END)
 ASCII_LETTERS = {p: " " for p in range(128) if not (97 <= p < 123) and chr(p) != LINE_END}
 URL = re.compile(r"(?:https?://|www\.)\S+")
 _TARGET = re.compile(r"\]\([^)\n]*\)")
+#: The steps of words() for many pages at once: link targets, addresses, and all that is no letter go; each CJK letter stands by itself.
+_ARROW_STEPS = (
+    (r"\]\([^)\n]*\)", "] "),
+    (r"(?:https?://|www\.)\S+", " "),
+    (rf"[^\p{{L}}\p{{Nl}}\p{{No}}{_CJK}\n{LINE_END} ]+", " "),
+    (rf"([{_CJK}])", r" \1 "),
+)
 
 
 def words(line: str) -> list[str]:
@@ -97,41 +105,67 @@ def _lines(counts: dict[tuple[str, int | None, int | None], int]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(map(whole, key), pa.int64(), size=m), pa.array(map(whole, form), pa.int64(), size=m), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.array(counts.values(), pa.int64(), size=m)], schema=_SCHEMA)
 
 
+def _distinct(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and how often they occur, or their summed weights."""
+    if weights is None:
+        return np.unique(codes, return_counts=True)
+    order = np.argsort(codes, kind="stable")
+    codes, weights = codes[order], weights[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, dtype=np.int64)
+    return codes[starts], np.add.reduceat(weights, starts) if len(starts) else weights
+
+
 class _Words:
-    """Counts of words and of neighbouring words of one task. Words are numbered, so pairs are counted as whole numbers with numpy."""
+    """Counts of words and of neighbouring words of one task. Words are numbered, so both are counted as whole numbers with numpy."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {LINE_END: 0}
-        self.single = np.zeros(0, dtype=np.int64)
-        self.pairs: dict[int, int] = {}
-
-    def add(self, w: list[str]) -> None:
-        """Counts a list of words with line ends between the words of different lines."""
+        self.single = np.zeros(1, dtype=np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = self.folded = 0
+
+    def add(self, pages: list[str]) -> None:
+        """Counts lower-case pages: words() of every line, without a loop over words in Python."""
+        text = pa.array([LINE_END_APART.join(pages)])
+        for pattern, by in _ARROW_STEPS:
+            text = pc.replace_substring_regex(text, pattern, by)
+        text = pc.ascii_trim_whitespace(pc.replace_substring(text, "\n", LINE_END_APART))
+        if not pc.binary_length(text)[0].as_py():
+            return
+        found = pc.ascii_split_whitespace(text).values.dictionary_encode()
         number = self.number
-        for x in set(w).difference(number):
-            number[x] = len(number)
-        ids = np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w))
-        seen = np.bincount(ids, minlength=len(self.single))
+        names = found.dictionary.to_pylist()
+        for x in names:
+            if x not in number:
+                number[x] = len(number)
+        ids = np.fromiter(map(number.__getitem__, names), dtype=np.int64, count=len(names))[found.indices.to_numpy()]
+        seen = np.bincount(ids, minlength=len(number))
         seen[: len(self.single)] += self.single
         self.single = seen
-        codes = (ids[:-1] << 32) | ids[1:]
-        codes.sort()
-        ends = np.append(np.flatnonzero(codes[1:] != codes[:-1]), len(codes) - 1) if len(codes) else np.zeros(0, dtype=np.int64)
-        pairs = self.pairs
-        for c, k in zip(codes[ends].tolist(), np.diff(ends, prepend=-1).tolist(), strict=True):
-            pairs[c] = pairs.get(c, 0) + k
-
-    def __len__(self) -> int:
-        return len(self.number) + len(self.pairs)
+        left, right = ids[:-1], ids[1:]
+        inner = (left > 0) & (right > 0)
+        self.parts.append(_distinct((left[inner] << 32) | right[inner]))
+        self.held += len(self.parts[-1][0])
+        if self.held > 2 * self.folded + HELD:
+            self._fold()
+
+    def _fold(self) -> None:
+        """One array of distinct pairs instead of one for each call of add()."""
+        if len(self.parts) > 1:
+            self.parts = [_distinct(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.held = self.folded = sum(len(c) for c, _ in self.parts)
+
+    def full(self) -> bool:
+        return len(self.number) + self.folded > HELD
 
     def batch(self) -> pa.RecordBatch:
-        names, low = list(self.number), 2**32 - 1
-        pairs = [(c >> 32, c & low, n) for c, n in self.pairs.items() if c >> 32 and c & low]
-        single = [(names[k], int(n)) for k, n in enumerate(self.single) if k and n]
-        a, b = [*(x for x, _ in single), *(names[x] for x, _, _ in pairs)], [*([None] * len(single)), *(names[y] for _, y, _ in pairs)]
-        m = len(a)
-        n = [*(k for _, k in single), *(k for _, _, k in pairs)]
-        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], schema=_SCHEMA)
+        self._fold()
+        codes, n = self.parts[0] if self.parts else (np.zeros(0, dtype=np.int64),) * 2
+        names, some = pa.array(list(self.number), pa.string()), np.flatnonzero(self.single[1:]) + 1
+        m = len(some) + len(codes)
+        a = names.take(pa.array(np.concatenate([some, codes >> 32])))
+        b = pa.concat_arrays([pa.nulls(len(some), pa.string()), names.take(pa.array(codes & (2**32 - 1)))])
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), a, b, pa.array(np.concatenate([self.single[some], n]))], schema=_SCHEMA)
 
 
 def count_corpus(pages: DataFrame, of_lines: bool = True, of_words: bool = True) -> DataFrame:
@@ -148,12 +182,11 @@ def count_corpus(pages: DataFrame, of_lines: bool = True, of_words: bool = True)
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             for start in range(0, batch.num_rows, TOGETHER):
-                text_words: list[str] = []
+                lows: list[str] = []
                 for text, host in zip(batch.column(0)[start : start + TOGETHER].to_pylist(), batch.column(1)[start : start + TOGETHER].to_pylist(), strict=True):
                     low = text.lower()
                     if of_words:
-                        text_words += page_words(low)
-                        text_words.append(LINE_END)
+                        lows.append(low)
                     if of_lines:
                         seed = host_seed(host)
                         held[host, None, None] = held.get((host, None, None), 0) + 1
@@ -161,12 +194,12 @@ def count_corpus(pages: DataFrame, of_lines: bool = True, of_words: bool = True)
                             data = form.encode("utf-8", "surrogatepass")
                             k = (host, digest(data, seed), digest(data, 42))
                             held[k] = held.get(k, 0) + 1
-                if text_words:
-                    counted.add(text_words)
+                if lows:
+                    counted.add(lows)
                 if len(held) > HELD:
                     yield _lines(held)
                     held = {}
-                if len(counted) > HELD:
+                if counted.full():
                     yield counted.batch()
                     counted = _Words()
         yield _lines(held)

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources import html
 from . import residue, spam
 from .blocks import ARTICLE, load_pages, with_repeats
@@ -26,7 +26,7 @@ def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True)
     results; repeated pages give repeated rows.
     """
     counts = spam.kept_counts(pages)
-    rows, repeats = with_repeats(pages.where(F.col("markdown").isNotNull()), ["page_id", "markdown", "title"], counts)
+    rows, repeats = with_repeats(residue.with_warnings(pages.where(F.col("markdown").isNotNull())), ["page_id", "markdown", "title", "warnings"], counts)
     sent = send(pages.sparkSession, (residue.fit(rows, repeats) if without_cases else None, repeats))
     schema = pa.schema([("page_id", pa.int64()), ("furniture", pa.list_(pa.int64())), ("kept", pa.string()), *spam.ACCOUNT])
 
@@ -38,7 +38,7 @@ def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True)
             for i, t, host, keys in zip(ids, batch.column(1), hosts, own, strict=True):
                 markdown = t.as_py()
                 page = lines.label(markdown, host, keys)
-                row = (0, 0, 0, None)
+                row = spam.CLOSED
                 if bayes is not None:
                     n_residue, notice = residue.judge(page, bayes)
                     if n_residue or notice > residue.NOTICE_SHARE:
@@ -58,12 +58,12 @@ def page_lines(pages: DataFrame, without_cases: bool = True, text: bool = True)
 
     made = rows.select("page_id", "markdown", "host", "own_keys").mapInArrow(run, f"page_id bigint, furniture array<bigint>, kept string, {spam.ACCOUNT_DDL}")
     if without_cases:
-        made = spam.close(made.persist(StorageLevel.DISK_ONLY), counts).where(~spam.is_stuffed())
+        made = spam.close(stored(made), counts).where(~spam.is_stuffed())
     return made.select("page_id", "furniture", "kept")
 
 
 def _lines(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
-    return page_lines(load_pages(spark, sf_dir, "title"), text=text)
+    return page_lines(load_pages(spark, sf_dir, "title", "completeness_report.warnings"), text=text)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +77,10 @@ def p2_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_pages(fetches: DataFrame) -> DataFrame:
-    """page_id (the fetch's id), markdown, title, host of fetched HTML. Kept on the executors' disks, as several passes read it and parsing is the dear part."""
+    """page_id (the fetch's id), markdown, title, host of fetched HTML, as a table in the shared folder, as several passes read it and parsing is the dear part."""
     made = html.parse(fetches.where(F.col("html").isNotNull()), ["fetch_id", "url"])
     rows = made.select(F.col("fetch_id").alias("page_id"), F.col("page.markdown").alias("markdown"), F.col("page.title").alias("title"), "url")
-    return pages_with_host(rows, None, ["page_id", "markdown", "title"]).persist(StorageLevel.DISK_ONLY)
+    return stored(pages_with_host(rows, None, ["page_id", "markdown", "title"]))
 
 
 def p2_html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

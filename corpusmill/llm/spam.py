@@ -1,15 +1,18 @@
 """Problem 1: pages of stuffed keywords, bare links or product, place and tag names instead of sentences.
 
 Pass one counts words and pairs of neighbouring words over the whole corpus (pre-aggregated in each task, one
-shuffle); all counts stay a table. Pass two takes each page by itself: collocations that take an excessive share of a page's
-pairs find stuffing. What may be word salad it hands on as pairs of words, to which the counts are joined by key: salad has a mean
-pointwise mutual information nearer to that of shuffled words than to that of the corpus. A page's own words do not speak
-for it. Site furniture, told by blocks.label_lines, stays out of the account.
+shuffle); all counts stay a table. Pass two takes each page by itself: site furniture, told by blocks.label_lines, stays out of the account, sentences
+count as text and lines of bare links as stuffing. What may be keywords - listings, long lines without function words, lines that a
+collocation dominates - is handed on as passages of word pairs, to which the counts are joined by key.
+
+The counts decide a passage by its coherence: the mean pointwise mutual information of its neighbouring words, each pair's normalised by its own
+information, so that 0 means words met by chance and 1 words always met together, at any size of corpus. A collocation that the page repeats
+excessively, measured by its share in the corpus, informs once and then counts as 0. Word salad and repeated collocations both end up
+below COHERENT. A page's own words do not speak for it.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,26 +20,31 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .blocks import FUNCTION_WORDS, LONG, Page, load_pages, with_repeats
 from .common import receive, send
 from .counting import URL, count_corpus, page_words, signed, words
+from .residue import is_latin
 
 #: Pairs, met and expected by chance alike, that are added to each count: an unseen pair of rare words tells nothing, one of frequent words much.
 SMOOTHING = 0.5
+#: Mean normalised PMI from which a passage is text.
+COHERENT = 0.45
+#: A pair repeats excessively if a page has it so often and its share there is so many times its share in the corpus.
+REPEATS, EXCESS = 3, 2.0
 #: A collocation with a content word dominates a page from this share of its pairs on, if it occurs so often.
 DOMINANT_SHARE, DOMINANT_COUNT = 0.03, 4
-#: Share of a line's words inside dominating collocations from which its sentences only repeat keywords.
+#: Share of a line's words inside dominating collocations from which the counts decide about it.
 COVERED = 0.30
 #: Share of function words below which a line is no sentence.
 FUNCTION_SHARE = 0.07
 #: Lines below so many words that end without a stop are listings up to this share.
 LISTED_WORDS, LISTED_SHARE = 12, 0.25
-#: Share of the keyword-like lines' pairs that recur on the page that makes them stuffing.
-RECURRING = 0.35
+#: Words from which the listings of a page are a passage.
+LEAST_WORDS = 20
 #: A list of links under a label is a related list up to this length.
 RELATED = 10
 SPAM_SHARE = 0.5
@@ -47,25 +55,9 @@ _END = (".", "!", "?", "。", "！", "？", "…")
 TEMPLATE = re.compile(r"\{\{|\}\}|\{%|<%|\$\{|#\{|\[\[|<<\w|%%?\w+%|\$\w+\$|__\w+__|@\w+\.\w|\{[\w.|]+\}")
 
 
-@dataclass
-class Collocations:
-    """Corpus counts of words and pairs, and the totals: the account of associations() in one place, for small corpora."""
-
-    single: dict[str, int]
-    pairs: dict[tuple[str, str], int]
-    n_words: int
-    n_pairs: int
-    smoothing: float = 0.0
-
-    def pmi(self, a: str, b: str) -> float:
-        """Pointwise mutual information in nats."""
-        chance = self.single.get(a, 0) / self.n_words * self.single.get(b, 0) / self.n_words * self.n_pairs
-        return math.log((self.pairs.get((a, b), 0) + self.smoothing) / (chance + self.smoothing))
-
-
 @dataclass
 class Account:
-    """Characters of a page that are stuffing and that are not, and the passages (characters if stuffing, if not, words of the lines) that their PMI decides."""
+    """Characters of a page that are stuffing and that are not, and the passages (characters if stuffing, if not, words of the lines) that the corpus decides."""
 
     spam: int
     good: int
@@ -96,51 +88,6 @@ def _with_words(pairs: DataFrame, single: DataFrame) -> DataFrame:
     return pairs
 
 
-@dataclass
-class Associations:
-    """Totals of the corpus, and the mean PMI below which neighbouring words are salad."""
-
-    n_words: int
-    n_pairs: int
-    salad: float
-
-    def pmi(self, both: F.Column, a: F.Column, b: F.Column) -> F.Column:
-        """Pointwise mutual information in nats of a pair met so often, of words met so often."""
-        chance = a * b * F.lit(self.n_pairs / max(1, self.n_words) ** 2)
-        return F.log((both + F.lit(SMOOTHING)) / (chance + F.lit(SMOOTHING)))
-
-
-def associations(counts: DataFrame) -> Associations:
-    """Totals of count_corpus(), and the bound of salad: midway between the mean PMI of content words as they stand, each without its own
-    occurrence, and of the same words in random order.
-
-    Of the latter, the part of unseen pairs comes from the words in classes of like frequency (powers of two), that of seen ones from their counts.
-    """
-    single, pairs = _words_and_pairs(counts)
-    n_pairs = pairs.agg(F.sum("n")).first()[0] or 0
-    content = single.where(~F.col("word").isin(*FUNCTION_WORDS))
-    by_class = single.groupBy((~F.col("word").isin(*FUNCTION_WORDS)).alias("content"), F.floor(F.log2("n_word"))).agg(F.sum("n_word").alias("n"), F.count("*").alias("m")).collect()
-    n_words, n_content = sum(r.n for r in by_class), sum(r.n for r in by_class if r.content)
-    known = Associations(n_words, n_pairs, 0.0)
-    if not n_pairs or not n_content:
-        return known
-    inner = pairs.where(~F.col("a").isin(*FUNCTION_WORDS) & ~F.col("b").isin(*FUNCTION_WORDS))
-    share = lambda side: F.col(f"n_{side}") / F.lit(n_content)
-    r = (
-        _with_words(inner, content)
-        .agg(
-            (F.sum(F.col("n") * known.pmi(F.col("n") - 1, F.col("n_a") - 1, F.col("n_b") - 1)) / F.sum("n")).alias("standing"),
-            F.sum(share("a") * share("b") * F.log1p(F.col("n") / F.lit(SMOOTHING))).alias("seen"),
-        )
-        .first()
-    )
-    if r.standing is None:
-        return known
-    classes = [(x.n / n_content, x.n / x.m) for x in by_class if x.content]
-    unseen = sum(p * q * math.log(SMOOTHING / (a * b * n_pairs / n_words**2 + SMOOTHING)) for p, a in classes for q, b in classes)
-    return Associations(n_words, n_pairs, (r.standing + r.seen + unseen) / 2)
-
-
 def _function_share(line: str, w: list[str]) -> float:
     if not line.isascii() and (kana := len(_KANA.findall(line))):
         return kana / max(1, len(w))
@@ -166,13 +113,13 @@ def account(page: Page) -> Account:
             stop = k
             while stop < n and page.reason[stop] == "links" and page.block[stop] - page.block[k] == 0:
                 stop += 1
-            listed = kind == "item" and stop - k <= RELATED and k > 0 and page.kind[k - 1] in ("head", "text") and page.reason[k - 1] != "prose"
+            related = kind == "item" and stop - k <= RELATED and k > 0 and page.kind[k - 1] in ("head", "text") and page.reason[k - 1] != "prose"
             pointer = kind == "text" and stop == k + 1 and text.count("](") == 1
-            if not (listed or pointer):
+            if not (related or pointer):
                 spam += sum(len(page.text[i]) for i in range(k, stop))
             k = stop
             continue
-        elif why in ("repeat", "cue", "trail", "above"):
+        elif why in ("repeat", "trail", "above"):
             pass
         elif page.kind[k] == "item" and page.label[k] and "](" in text and why != "prose":
             good += len(text)  # downloads
@@ -186,7 +133,7 @@ def account(page: Page) -> Account:
             elif why != "common" or not text.endswith(_END):
                 ordered.append((k, w))
         k += 1
-    # A dominating pair has a content word that is as frequent; where there is none, and no listing, pairs need not be counted.
+    # A dominating pair has a content word that is as frequent; where there is none, pairs need not be counted.
     often: Counter = Counter()
     for _, w in ordered:
         often.update(w)
@@ -194,11 +141,12 @@ def account(page: Page) -> Account:
     least = max(DOMINANT_COUNT, DOMINANT_SHARE * total)
     frequent = {x for x, c in often.items() if c >= least and x not in FUNCTION_WORDS}
     pairs: Counter = Counter()
-    if frequent or any(not page.text[k].endswith(_END) or page.reason[k] == "common" for k, _ in ordered):
+    if frequent:
         for _, w in ordered:
             pairs.update(zip(w, w[1:], strict=False))
     top = {p for p, c in pairs.items() if c >= least and not frequent.isdisjoint(p)}
-    pool: list[tuple[int, list[str]]] = []
+    listed: list[tuple[int, list[str]]] = []
+    dominated: list[tuple[int, list[str]]] = []
     for k, w in ordered:
         text, covered = page.text[k], 0
         if top:
@@ -210,32 +158,26 @@ def account(page: Page) -> Account:
         ended = text.endswith(_END)
         share = 1.0 if ended and page.reason[k] == "prose" and len(text) <= LONG else _function_share(text, w)
         if page.reason[k] == "common":
-            pool.append((k, w))
-        elif TEMPLATE.search(text):
-            good += len(text)  # an unfilled form, whatever it repeats
+            listed.append((k, w))
+        elif TEMPLATE.search(text) or is_latin(w):
+            good += len(text)  # an unfilled form or filler, whatever it repeats: problem 5
         elif covered >= COVERED * len(w) and len(w) > 1:
-            spam += len(text)
+            dominated.append((k, w))
         elif not ended and (share < FUNCTION_SHARE or (share < LISTED_SHARE and len(w) < LISTED_WORDS)):
-            pool.append((k, w))
+            listed.append((k, w))
         elif ended and share < FUNCTION_SHARE and len(w) >= LISTED_WORDS:
             unsettled.append((len(text), len(text), [w]))
         else:
             good += len(text)
-    if pool:
-        mine = [p for _, w in pool for p in zip(w, w[1:], strict=False)]
-        again = sum(pairs[p] >= 3 for p in mine)
-        single = Counter(x for _, w in pool for x in w)
-        names = sum(single.values())
-        recurring = sum(c for c in single.values() if c >= 3) / names
-        size = sum(len(page.text[k]) for k, _ in pool)
-        # a line that many hosts have is furniture unless it is stuffing
-        own = sum(len(page.text[k]) for k, _ in pool if page.reason[k] != "common")
-        if names >= 20 and (recurring >= 2 * RECURRING or again >= RECURRING * len(mine)):
-            spam += size
-        elif names >= 20:
-            unsettled.append((size, own, [w for _, w in pool]))
-        else:
-            good += own
+    if dominated:
+        size = sum(len(page.text[k]) for k, _ in dominated)
+        unsettled.append((size, size, [w for _, w in dominated]))
+    # a line that many hosts have is furniture unless it is stuffing
+    own = sum(len(page.text[k]) for k, _ in listed if page.reason[k] != "common")
+    if sum(len(w) for _, w in listed) >= LEAST_WORDS:
+        unsettled.append((sum(len(page.text[k]) for k, _ in listed), own, [w for _, w in listed]))
+    else:
+        good += own
     return Account(spam, good, unsettled)
 
 
@@ -257,7 +199,7 @@ def short_account(page: Page) -> Account:
                 doubt += len(text)
         elif kind in ("code", "table"):
             sure += len(text)
-        elif why not in ("repeat", "cue", "trail", "above") and kind != "head":
+        elif why not in ("repeat", "trail", "above") and kind != "head":
             doubt += len(text)
             if why != "links":
                 every += words(text)
@@ -270,17 +212,18 @@ def short_account(page: Page) -> Account:
     return told
 
 
-#: Columns of a page's account: a hash that tells pages of one page_id apart, characters, and the open passages with their pairs of words - how
-#: often in the passage, and how often the page has the pair and its words.
+#: Columns of a page's account: a hash that tells pages of one page_id apart, characters, how many pairs of words the page has, and the open
+#: passages with theirs - how often in the passage, and how often the page has the pair and its words.
 _PAIR = pa.struct([("a", pa.string()), ("b", pa.string()), ("k", pa.int64()), ("own", pa.int64()), ("own_a", pa.int64()), ("own_b", pa.int64())])
-ACCOUNT = [("digest", pa.int64()), ("spam", pa.int64()), ("good", pa.int64()), ("open", pa.list_(pa.struct([("spam", pa.int64()), ("good", pa.int64()), ("pairs", pa.list_(_PAIR))])))]
-ACCOUNT_DDL = "digest bigint, spam bigint, good bigint, open array<struct<spam: bigint, good: bigint, pairs: array<struct<a: string, b: string, k: bigint, own: bigint, own_a: bigint, own_b: bigint>>>>"
+ACCOUNT = [("digest", pa.int64()), ("spam", pa.int64()), ("good", pa.int64()), ("n_pairs", pa.int64()), ("open", pa.list_(pa.struct([("spam", pa.int64()), ("good", pa.int64()), ("pairs", pa.list_(_PAIR))])))]
+ACCOUNT_DDL = "digest bigint, spam bigint, good bigint, n_pairs bigint, open array<struct<spam: bigint, good: bigint, pairs: array<struct<a: string, b: string, k: bigint, own: bigint, own_a: bigint, own_b: bigint>>>>"
+CLOSED = (0, 0, 0, 0, None)
 
 
 def account_row(told: Account, markdown: str, host: str) -> tuple:
     """The columns of ACCOUNT; open is null where nothing is."""
     if not told.open:
-        return 0, told.spam, told.good, None
+        return 0, told.spam, told.good, 0, None
     w = page_words(markdown.lower())
     single, both = Counter(w), Counter(zip(w, w[1:], strict=False))
     digest = signed(xxhash.xxh64_intdigest(f"{host}\n{markdown}".encode("utf-8", "surrogatepass")))
@@ -288,30 +231,51 @@ def account_row(told: Account, markdown: str, host: str) -> tuple:
     for spam, good, lines in told.open:
         pairs = Counter(p for x in lines for p in zip(x, x[1:], strict=False))
         passages.append({"spam": spam, "good": good, "pairs": [{"a": a, "b": b, "k": k, "own": both[a, b], "own_a": single[a], "own_b": single[b]} for (a, b), k in pairs.items()]})
-    return digest, told.spam, told.good, passages
+    return digest, told.spam, told.good, len(w), passages
+
+
+def coherence(n_words: int, n_pairs: int) -> F.Column:
+    """Sum over pairs (k, n_pairs of their page, own, own_a, own_b; n, n_a, n_b of the corpus) of their normalised PMI without the page's own words.
+
+    A pair that the page repeats excessively counts once.
+    """
+    others = lambda n, own: F.greatest(F.coalesce(F.col(n), F.lit(0)) - F.col(own), F.lit(0))
+    met = others("n", "own") + F.lit(SMOOTHING)
+    chance = others("n_a", "own_a") * others("n_b", "own_b") * F.lit(n_pairs / max(1, n_words) ** 2) + F.lit(SMOOTHING)
+    normal = F.log(met / chance) / F.log(F.lit(n_pairs + 1.0) / met)
+    excessive = (F.col("own") >= REPEATS) & (F.col("own") / F.col("n_pairs") >= F.lit(EXCESS) * met / F.lit(n_pairs + 1.0))
+    return F.sum(F.when(excessive, F.least(F.col("k"), F.lit(1))).otherwise(F.col("k")) * normal)
 
 
 def close(accounts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows of accounts (page_id, columns of ACCOUNT, others) with every passage settled by the corpus counts: without digest and open. accounts is read twice.
+    """Rows of accounts (page_id, columns of ACCOUNT, others) with every passage settled by the corpus counts: without digest, n_pairs and open.
 
-    Only open passages move: each distinct pair of them meets the counts once, and only those rows are joined to their verdict.
+    Both inputs are read several times, so hand in stored ones. Only open passages move: each distinct pair of them meets the counts once, and only those
+    rows are joined to their verdict. A passage without any pair is stuffing.
     """
-    known = associations(counts)
-    single, pairs = _words_and_pairs(counts)
+    known = counts.where(F.col("a").isNotNull())
+    single = known.where(F.col("b").isNull()).select(F.col("a").alias("word"), F.col("n").alias("n_word"))
+    pairs = known.where(F.col("b").isNotNull()).select("a", "b", "n")
+    totals = known.agg(F.coalesce(F.sum(F.when(F.col("b").isNull(), F.col("n"))), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("pairs")).first()
     undecided = accounts.where(F.col("open").isNotNull())
-    passage = undecided.select("page_id", "digest", F.posexplode("open").alias("no", "o")).select("page_id", "digest", "no", F.col("o.spam").alias("if_spam"), F.col("o.good").alias("if_good"), F.explode_outer("o.pairs").alias("p")).select("page_id", "digest", "no", "if_spam", "if_good", "p.*")
-    met = _with_words(passage.where(F.col("a").isNotNull()).select("a", "b").distinct().join(pairs, ["a", "b"], "left"), single)
-    others = lambda n, own: F.greatest(F.coalesce(F.col(n), F.lit(0)) - F.col(own), F.lit(0))
+    passage = (
+        undecided.select("page_id", "digest", "n_pairs", F.posexplode("open").alias("no", "o"))
+        .select("page_id", "digest", "n_pairs", "no", F.col("o.spam").alias("if_spam"), F.col("o.good").alias("if_good"), F.explode_outer("o.pairs").alias("p"))
+        .select("page_id", "digest", "n_pairs", "no", "if_spam", "if_good", "p.*")
+    )
+    met = passage.where(F.col("a").isNotNull()).select("a", "b").distinct().join(pairs, ["a", "b"], "left")
+    for side in ("a", "b"):
+        met = met.join(single.select(F.col("word").alias(side), F.col("n_word").alias(f"n_{side}")), side, "left")
     verdict = (
         passage.join(met, ["a", "b"], "left")
         .groupBy("page_id", "digest", "no", "if_spam", "if_good")
-        .agg((F.sum(F.col("k") * known.pmi(others("n", "own"), others("n_a", "own_a"), others("n_b", "own_b"))) / F.sum("k")).alias("mean"))
-        .withColumn("salad", F.col("mean").isNull() | (F.col("mean") < F.lit(known.salad)))
+        .agg((coherence(totals.words, totals.pairs) / F.sum("k")).alias("mean"))
+        .withColumn("stuffed", F.col("mean").isNull() | (F.col("mean") < F.lit(COHERENT)))
         .groupBy("page_id", "digest")
-        .agg(F.sum(F.when(F.col("salad"), F.col("if_spam")).otherwise(0)).alias("if_spam"), F.sum(F.when(F.col("salad"), 0).otherwise(F.col("if_good"))).alias("if_good"))
+        .agg(F.sum(F.when(F.col("stuffed"), F.col("if_spam")).otherwise(0)).alias("if_spam"), F.sum(F.when(F.col("stuffed"), 0).otherwise(F.col("if_good"))).alias("if_good"))
     )
     closed = undecided.join(verdict, ["page_id", "digest"], "left").withColumns({"spam": F.col("spam") + F.col("if_spam"), "good": F.col("good") + F.col("if_good")})
-    columns = [c for c in accounts.columns if c not in ("digest", "open")]
+    columns = [c for c in accounts.columns if c not in ("digest", "n_pairs", "open")]
     return accounts.where(F.col("open").isNull()).select(*columns).unionByName(closed.select(*columns))
 
 
@@ -325,7 +289,7 @@ def is_stuffed() -> F.Column:
 
 
 def spam_pages(pages: DataFrame, counts: DataFrame | None = None, exact: bool = True) -> DataFrame:
-    """page_id, spam_share of each page (page_id, markdown, host). Null markdown gives no row, an empty page share 0. counts is count_corpus() of the pages, made here if absent.
+    """page_id, spam_share of each page (page_id, markdown, host). Null markdown gives no row, an empty page share 0. counts is kept_counts() of the pages, made here if absent.
 
     Shares that need not be exact are on the right side of SPAM_SHARE.
     """
@@ -347,13 +311,13 @@ def spam_pages(pages: DataFrame, counts: DataFrame | None = None, exact: bool =
                 made.append(account_row(page_account, markdown, h))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([m[k] for m in made], kind) for k, (_, kind) in enumerate(ACCOUNT))], schema=schema)
 
-    accounts = rows.mapInArrow(run, f"page_id bigint, {ACCOUNT_DDL}").persist(StorageLevel.DISK_ONLY)
+    accounts = stored(rows.mapInArrow(run, f"page_id bigint, {ACCOUNT_DDL}"))
     return close(accounts, counts).select("page_id", share().alias("spam_share"))
 
 
 def kept_counts(pages: DataFrame) -> DataFrame:
-    """Counts of the corpus, kept on the executors' disks for their readers; a lost part is counted again."""
-    return count_corpus(pages).persist(StorageLevel.DISK_ONLY)
+    """Counts of the corpus as a table in the shared folder."""
+    return stored(count_corpus(pages))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,11 @@
 """Problems 1, 2, 3 and 5 on small pages: rules, repetition, edge cases."""
 
+from collections import Counter
+
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks, counting, main_text, repeated_lines, residue, spam
@@ -67,8 +72,29 @@ def test_stuffed_pages(spark):
 def test_pmi_counts_cover_everything(spark):
     counts = {(r.a, r.b): r.n for r in counting.count_corpus(pages(spark, [(1, "a b a\na b", None, "h", False), (2, "a b", None, "h", False), NULLS[0]]), of_lines=False).collect()}
     assert counts == {("a", None): 4, ("b", None): 3, ("a", "b"): 3, ("b", "a"): 1}
-    c = spam.Collocations({"a": 4, "b": 3}, {("a", "b"): 3, ("b", "a"): 1}, 7, 4)
-    assert abs(c.pmi("a", "b") - np.log(3 / 4 * 7 / 4 * 7 / 3)) < 1e-12
+
+
+@given(st.lists(st.text(alphabet="ab ²Ⅳé日゙か_1.\n\t\u3000()[]", max_size=30), max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_arrow_words_are_the_words_of_the_lines(texts):
+    texts = [*texts, "see https://a.b/c?d e [x y](/z 1) Ende"]
+    single, both = Counter(), Counter()
+    for line in "\n".join(texts).lower().split("\n"):
+        w = counting.WORD.findall(counting.URL.sub(" ", counting._TARGET.sub("] ", line)))
+        single.update((x, None) for x in w)
+        both.update(zip(w, w[1:], strict=False))
+    counted = counting._Words()
+    for t in texts:
+        counted.add([t.lower()])
+    assert {(r["a"], r["b"]): r["n"] for r in counted.batch().to_pylist()} == dict(single | both)
+
+
+def test_coherence_by_hand(spark):
+    rows = [("x", 2, 10, 2, 2, 2, 12, 20, 30), ("x", 5, 10, 5, 5, 5, 5, 9, None), ("x", 1, 10, 1, 1, 1, None, 4, 4)]
+    df = spark.createDataFrame(rows, "g string, k bigint, n_pairs bigint, own bigint, own_a bigint, own_b bigint, n bigint, n_a bigint, n_b bigint")
+    normal = lambda n, a, b: np.log((n + 0.5) / (a * b * 1000 / 2000**2 + 0.5)) / np.log(1001 / (n + 0.5))
+    want = 2 * normal(10, 18, 28) + normal(0, 4, 0) + normal(0, 3, 3)  # the second pair repeats excessively
+    assert abs(df.groupBy("g").agg(spam.coherence(2000, 1000).alias("s")).first().s - want) < 1e-9
 
 
 def test_shuffled_words_are_salad_however_rare(spark):
@@ -121,8 +147,30 @@ def test_a_field_inside_long_prose_is_found(spark):
 
 
 def test_learning_needs_trusted_records():
-    assert residue.learn([]).odds(["x"]) == (-50.0, -50.0)
-    assert residue.learn([(["x"], -1)] * 5).odds(["x"])[0] < 0
+    assert residue.learn([]).odds(["x"], True) == (-50.0, -50.0)
+    assert residue.learn([(["x"], -1)] * 5).odds(["x"], False)[0] < 0
+
+
+def test_kinds_of_residue_that_no_trusted_record_has(spark):
+    """Fields, fillers and notices that the seeds do not name are learned from the unlabelled records."""
+    import os
+    import re
+
+    where = "/root/testdata/sf0.01"
+    if not os.path.isdir(where):
+        pytest.skip("no test data")
+    held = re.compile(r"\[\[\w+\]\]|__[A-Z_]{3,}__|%[A-Z_]{3,}%|<<\w+>>|#\{[\w.]+\}|\{%|text goes here|tagline here|beispieltext|texto de ejemplo", re.I)
+    notice = re.compile(r"^# (?:access denied|session expired|just a second|loading|verify your visit|something went wrong|accès refusé|acceso denegado|zugriff verweigert|page introuvable|página no encontrada|erreur du serveur)$", re.I | re.M)
+    pages = blocks.load_pages(spark, where, "title", "completeness_report.warnings")
+    kinds = {}
+    for r in pages.collect():
+        text = re.sub(r"```.*?```|`[^`\n]*`", "", r.markdown, flags=re.S)
+        if residue.FIELD.search(text) or residue.STATUS.search(r.title or "") or "blocked" in " ".join(r.warnings or []):
+            continue
+        if held.search(text) or (notice.search(text) and len(text) < 1500):
+            kinds[r.page_id] = text
+    found = {r.page_id for r in residue.judged_pages(pages).where(residue.is_case()).collect()}
+    assert len(kinds) > 10 and len(found & set(kinds)) >= 0.9 * len(kinds)
 
 
 def test_articles_leave_cases_out(spark):
