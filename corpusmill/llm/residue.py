@@ -252,13 +252,12 @@ def judge(page: Page, model: NaiveBayes) -> tuple[int, float]:
 
 
 def may_be_trusted() -> F.Column:
-    """Native test that holds for every page of which trusted() would take something, and for some others."""
-    text, title = F.lower("markdown"), F.lower(F.coalesce("title", F.lit("")))
-    marks = [F.contains("markdown", F.lit(x)) for x in ("{{", "<%", "${")] + [F.contains(text, F.lit(x)) for x in ("lorem", "ipsum", "dolor", "amet")]
-    status = [F.rlike(x, F.lit(r"^\s*(?:#+ *)?(?:\[error\] |error |http )?[45]\d\d\b")) for x in (title, text)]
-    either = F.lit(False)
-    for test in (*marks, *status, F.rlike(text, F.lit(r"\n# *(?:error |http )?[45]\d\d\b")), F.contains("warnings", F.lit("blocked"))):
-        either = either | test
+    """Native test for pages of which trusted() would take something, most of them and few others: plain searches, patterns only behind them."""
+    title, has = F.coalesce("title", F.lit("")), lambda x: F.contains("markdown", F.lit(x))
+    status = r"(?im)^(?:# *)?(?:\[error\] |error |http )?[45]\d\d\b"
+    either = F.rlike(title, F.lit(status)) | F.contains("warnings", F.lit("blocked")) | ((has("# 4") | has("# 5")) & F.rlike("markdown", F.lit(status)))
+    for x in ("{{", "<%", "${", "lorem", "adipiscing", "consectetur", "incididunt"):
+        either = F.coalesce(either, F.lit(False)) | has(x)
     return F.coalesce(either, F.lit(False))
 
 
@@ -293,7 +292,8 @@ def fit(rows: DataFrame, repeats: Repeats) -> NaiveBayes:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["page_id", "class", "tokens"])
 
     chosen = fit_sample(rows).select("page_id", "markdown", "title", "host", "warnings", "own_keys")
-    known = chosen.mapInArrow(run, "page_id bigint, class bigint, tokens string").orderBy("page_id", "class", "tokens").toArrow()
+    # A bounded sample; its order decides which passages are spies.
+    known = chosen.mapInArrow(run, "page_id bigint, class bigint, tokens string").toArrow().sort_by([("page_id", "ascending"), ("class", "ascending"), ("tokens", "ascending")])
     said = known["tokens"].combine_chunks()
     split = pc.split_pattern(said if isinstance(said, pa.Array) else pa.array([], pa.string()), " ")
     found = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode() if len(split) else pa.array([], pa.string()).dictionary_encode()
