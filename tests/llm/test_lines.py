@@ -156,7 +156,7 @@ def test_kinds_of_residue_that_no_trusted_record_has(spark):
     import os
     import re
 
-    where = "/root/testdata/sf0.01"
+    where = "/root/testdata/sf0.1"
     if not os.path.isdir(where):
         pytest.skip("no test data")
     held = re.compile(r"\[\[\w+\]\]|__[A-Z_]{3,}__|%[A-Z_]{3,}%|<<\w+>>|#\{[\w.]+\}|\{%|text goes here|tagline here|beispieltext|texto de ejemplo", re.I)
@@ -170,7 +170,7 @@ def test_kinds_of_residue_that_no_trusted_record_has(spark):
         if held.search(text) or (notice.search(text) and len(text) < 1500):
             kinds[r.page_id] = text
     found = {r.page_id for r in residue.judged_pages(pages).where(residue.is_case()).collect()}
-    assert len(kinds) > 10 and len(found & set(kinds)) >= 0.9 * len(kinds)
+    assert len(kinds) > 100 and len(found & set(kinds)) >= 0.9 * len(kinds)
 
 
 def test_articles_leave_cases_out(spark):
