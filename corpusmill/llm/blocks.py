@@ -131,11 +131,13 @@ def _decide(s: str, repeated: Callable[[str], str]) -> tuple[str, int, str, bool
         if all(_FILE.search(b) for _, b in found):
             return sort, ARTICLE, "", False, None
         return sort, FURNITURE, repeated(s) or "links", m is not None, None
+    prose, own = _sentence(body)
+    if prose and len(s) > LONG:
+        return sort, ARTICLE, "prose", False, None if found else own
     if (m is None or found) and (why := repeated(s)):
         return sort, FURNITURE, why, False, None
     if (">" in s or "»" in s or "›" in s or "→" in s) and len(_TRAIL.findall(s)) > 1:
         return sort, FURNITURE, "trail", False, None
-    prose, own = _sentence(body)
     return sort, ARTICLE if prose else UNSURE, "prose" if prose else "", False, None if found else own
 
 
