@@ -7,8 +7,8 @@ script and, among these, the best character bigram score. Scores are counted ove
 result is bounded by the alphabets. A lattice depends on how a token looks, never on how it is written, so texts
 of one look always get one form.
 
-Pairs come from an equi-join of the different spellings of a form: copies are folded first, so a form with a single
-spelling makes no work however many pages have it.
+Texts are reduced to 128-bit hashes of form and spelling once. Pairs come from an equi-join of the different spellings of a form, and only those are joined to their
+pages, hot spellings in parts: copies are never compared, and a form with a single spelling makes no work however many pages have it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import receive, send, texts
 
 # Letters of other scripts drawn like a Latin letter.
@@ -38,6 +39,8 @@ SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
 HYPHENS = "‐‑"
 #: Letters of the scripts in the lattice: Latin, Greek, Cyrillic.
 RANGES = ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0xD7), (0xD8, 0xF7), (0xF8, 0x250), (0x370, 0x400), (0x400, 0x530), (0x1E00, 0x2000))
+#: Pages of one spelling that are paired in one task.
+SALTED = 4_096
 _MARKS = "̀-ͯ"
 _SWITCH = 1000.0
 
@@ -209,27 +212,58 @@ def fingerprints(rows: DataFrame, model: Normalizer, key: str, columns: list[str
     return rows.select(F.col(key).cast("bigint").alias(key), *columns).mapInArrow(run, "key bigint, field string, form binary, spelling binary")
 
 
-def same_look_pairs(prints: DataFrame) -> DataFrame:
-    """key_a < key_b, field: rows whose texts have one form and different spellings. A key that repeats gives a pair once."""
-    spellings = prints.groupBy("field", "form", "spelling").agg(F.min("key").alias("one"))
-    mixed = spellings.groupBy("field", "form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field", "form")
-    # Only forms with several spellings go on; each spelling keeps all its keys.
-    kept = prints.join(mixed, ["field", "form"], "left_semi").distinct()
-    left = kept.select("field", "form", F.col("spelling").alias("spelling_a"), F.col("key").alias("key_a"))
-    right = kept.select("field", "form", F.col("spelling").alias("spelling_b"), F.col("key").alias("key_b"))
-    pairs = left.join(right, ["field", "form"]).where((F.col("key_a") < F.col("key_b")) & (F.col("spelling_a") != F.col("spelling_b")))
-    return pairs.select("key_a", "key_b", "field").distinct()
+def spellings(prints: DataFrame) -> DataFrame:
+    """field, form, spelling, n_pages, first_page of the forms with several spellings. A row that repeats counts once."""
+    each = prints.groupBy("field", "form", "spelling").agg(F.count_distinct("key").alias("n_pages"), F.min("key").alias("first_page"))
+    mixed = each.groupBy("field", "form").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return each.join(mixed, ["field", "form"], "left_semi")
+
+
+def same_look_pairs(prints: DataFrame, salted: int = SALTED) -> DataFrame:
+    """key_a < key_b, field: rows whose texts have one form and different spellings. A key that repeats gives a pair once. prints is read several times.
+
+    Pairs of spellings come first, so copies are never compared with each other; each pair then meets the pages of both sides, a spelling with many
+    pages in parts of about `salted` pages.
+    """
+    known = stored(spellings(prints))
+    pages = prints.join(known.select("field", "form", "spelling", "n_pages"), ["field", "form", "spelling"]).distinct()
+    parts = F.ceil(F.col("n_pages") / salted)
+    side = lambda x: pages.select("field", "form", F.col("spelling").alias(f"spelling_{x}"), F.col("key").alias(f"key_{x}"), F.pmod(F.xxhash64("key"), parts).alias(f"part_{x}"))
+    one = lambda x: known.select("field", "form", F.col("spelling").alias(f"spelling_{x}"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias(f"part_{x}"))
+    both = one("a").join(one("b"), ["field", "form"]).where(F.col("spelling_a") < F.col("spelling_b"))
+    met = both.join(side("a"), ["field", "form", "spelling_a", "part_a"]).join(side("b"), ["field", "form", "spelling_b", "part_b"])
+    pairs = met.where(F.col("key_a") != F.col("key_b")).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "field")
+    return pairs.distinct()
+
+
+def look_classes(prints: DataFrame) -> DataFrame:
+    """key, field, look, spelling, n_links of the rows that have a partner: the first keys with this look and with this spelling of it, and how many rows look the same in other characters.
+
+    One row a key and field: partners are the rows of one look and another spelling.
+    """
+    known = spellings(prints)
+    looks = known.groupBy("field", "form").agg(F.min("first_page").alias("look"), F.sum("n_pages").alias("_all"))
+    classes = known.join(looks, ["field", "form"]).select("field", "form", "spelling", "look", F.col("first_page").alias("_first"), (F.col("_all") - F.col("n_pages")).alias("n_links"))
+    return prints.distinct().join(classes, ["field", "form", "spelling"]).select("key", "field", "look", F.col("_first").alias("spelling"), "n_links")
 
 
 def _texts(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.array("markdown", "title")).alias("text")).where("text IS NOT NULL")
 
 
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = texts(spark, sf_dir, "discovered_pages")
+    return stored(fingerprints(pages, fit(_texts(pages)), "page_id", ["markdown", "title"]))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pages whose markdown or title looks the same and is not the same string."""
-    pages = texts(spark, sf_dir, "discovered_pages")
-    prints = fingerprints(pages, fit(_texts(pages)), "page_id", ["markdown", "title"])
-    return same_look_pairs(prints).select(F.col("key_a").alias("page_a"), F.col("key_b").alias("page_b"), "field")
+    return same_look_pairs(_prints(spark, sf_dir)).select(F.col("key_a").alias("page_a"), F.col("key_b").alias("page_b"), "field")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look and spelling of every page with such a partner, and the number of its partners."""
+    return look_classes(_prints(spark, sf_dir)).withColumnRenamed("key", "page_id")
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,5 +272,5 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_columns(pages, fit(_texts(pages)), "page_id", ["title", "markdown"])
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms}
+QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms}
 ORACLE: dict[str, str] = {}

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import table, texts
 from .tokens import VOCABULARY, token_counts
 
@@ -117,5 +118,21 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p7_containers(spark, sf_dir), _limits(spark, sf_dir))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
-ORACLE: dict[str, str] = {}
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each limit: its capacity, the documents placed, documents with a gap or an overlap between their pieces, documents in pieces that fit whole, and containers above the capacity."""
+    packed = stored(p7_containers(spark, sf_dir))
+    limits = spark.createDataFrame(_limits(spark, sf_dir), "limit_name string, capacity bigint")
+    pieces = F.array_sort(F.collect_list(F.struct("first_token", "n_tokens")))
+    per_doc = packed.groupBy("limit_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("n_pieces"), pieces.alias("p")).join(F.broadcast(limits), "limit_name")
+    torn = (F.col("n") != F.col("end")) | F.exists(F.sequence(F.lit(0), F.size("p") - 2), lambda k: F.get("p", k)["first_token"] + F.get("p", k)["n_tokens"] != F.get("p", k + 1)["first_token"])
+    torn = F.when(F.col("n_pieces") == 1, F.get("p", F.lit(0))["first_token"] != 0).otherwise(torn)
+    docs = per_doc.groupBy("limit_name", "capacity").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(torn).alias("n_torn"), F.count_if((F.col("n_pieces") > 1) & (F.col("n") <= F.col("capacity"))).alias("n_cut_for_nothing"))
+    full = packed.groupBy("limit_name", "container_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(limits), "limit_name").groupBy("limit_name").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_overfull"))
+    return docs.join(full, "limit_name")
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p7_checks": p7_checks}
+ORACLE = {
+    "p7_checks": """SELECT limit_name, min(max_tokens)::BIGINT AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0::BIGINT AS n_torn, 0::BIGINT AS n_cut_for_nothing, 0::BIGINT AS n_overfull
+ FROM size_limits WHERE limit_name IN ('context_small', 'context_large') GROUP BY limit_name""",
+}

@@ -197,27 +197,28 @@ def brute_repeated(rows, min_pages, min_share):
 
 def test_repeated_lines_against_brute_force(spark):
     rows = [(k, f"Share this text with all your friends {k % 3}\r\nonly here {k} {'x' * k}\n  share THIS text  with all your friends 77 \n# Share this text with all your friends 1", None, f"h{k % 2}.example", k % 5 == 0) for k in range(30)]
+    # Lines of the early pages of one host fall with its late pages, others rise.
+    rows += [(300 + k, "Only the early pages have this line of text." if k < 6 else f"Nothing {k}", None, "c.example", k >= 6) for k in range(60)]
+    rows += [(200 + k, f"The late pages make this line excessive, {k}." if k % 3 == 0 else "x", None, "d.example", k >= 6) for k in range(18)]
     rows += NULLS
-    df = pages(spark, [r for r in rows if r[1] is not None])
-    state = repeated_lines.count_partition(df)
-    got = {(r.page_id, r.line_no) for r in repeated_lines.occurrences(df, repeated_lines.excessive(state)).collect()}
-    assert got == brute_repeated(rows, 5, 0.15) and got
-    # Merging deltas gives the same as counting everything at once.
-    early, late = df.where("NOT late"), df.where("late")
-    merged = repeated_lines.merge(repeated_lines.count_partition(early), repeated_lines.count_partition(late))
-    assert sorted(map(tuple, repeated_lines.excessive(merged).collect())) == sorted(map(tuple, repeated_lines.excessive(state).collect()))
-
-
-def test_crossings_and_rebuild(spark):
+    df = pages(spark, rows)
+    r = repeated_lines.run(df, None)
+    got = [(x.page_id, x.line_no) for x in r.found().collect()]
+    assert set(got) == brute_repeated(rows, 5, 0.15) and got and len(got) == len(set(got))
+    assert {x.crossed for x in r.crossed.collect()} == {"up", "down"}
+    whole = repeated_lines.count_partition(repeated_lines.keyed_pages(df))
+    assert sorted(map(tuple, whole.excessive().collect())) == sorted(map(tuple, r.after.collect()))
+    kept = {x.page_id: (x.n_removed, x.markdown) for x in repeated_lines.without_lines(df.where("markdown IS NOT NULL"), r.found()).collect()}
+    assert kept[101] == (0, "") and kept[300] == (0, "Only the early pages have this line of text.") and kept[200] == (1, "")
+    empty = repeated_lines.run(df.limit(0), None)
+    assert empty.found().count() == 0 and empty.crossed.count() == 0
+
+
+def test_only_pages_with_crossed_lines_are_built_again(spark):
     line = "This legal notice is on many pages of the site."
     rows = [(k, f"text {k}\n{line}" if k < 5 else f"text number {k}", None, "h.example", k in (4, 5, 6)) for k in range(7)]
     df = pages(spark, rows)
-    before = repeated_lines.excessive(repeated_lines.count_partition(df.where("NOT late")))
-    after = repeated_lines.excessive(repeated_lines.merge(repeated_lines.count_partition(df.where("NOT late")), repeated_lines.count_partition(df.where("late"))))
-    crossed = repeated_lines.crossings(before, after)
-    assert [r.crossed for r in crossed.collect()] == ["up"]
-    made = {r.page_id: (r.n_removed, r.markdown) for r in repeated_lines.rebuild(df, crossed, after).collect()}
-    assert made == {k: (1, f"text {k}") for k in range(5)}
-    many = pages(spark, [(100 + k, f"other {k}", None, "h.example", True) for k in range(60)])
-    later = repeated_lines.excessive(repeated_lines.merge(repeated_lines.count_partition(df), repeated_lines.count_partition(many)))
-    assert [r.crossed for r in repeated_lines.crossings(after, later).collect()] == ["down"]
+    r = repeated_lines.run(df, None)
+    assert [x.crossed for x in r.crossed.collect()] == ["up"]
+    made = {x.page_id: (x.n_removed, x.markdown) for x in repeated_lines.rebuild(df.where("NOT late"), r.early, r.crossed, r.after).collect()}
+    assert made == {k: (1, f"text {k}") for k in range(4)}
