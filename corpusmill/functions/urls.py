@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import blank_to_null, text, trim
+from .dialect import blank_to_null, let, text, trim
 
 #: Scheme and authority of an absolute http(s) URL.
 _HEAD = r"^(?i:https?)://[^/?#]+"
@@ -23,10 +23,31 @@ def is_absolute(url: Column | str) -> Column:
 
 
 def canonical(url: Column | str) -> Column:
-    """Absolute URL as a browser prints it: scheme and host in lower case, / as the empty path, fragment kept; null if not absolute."""
-    u = trim(url)
+    """Absolute URL as a browser prints it: scheme and host in lower case, no default port, / as the empty path, . and .. segments resolved, characters that
+    no URL has percent-encoded, fragment kept; null if not absolute.
+    """
+    return let(trim(url), _printed)
+
+
+def _printed(u: Column) -> Column:
+    head = F.regexp_replace(F.lower(_head(u)), r"^(?:(http://[^/]*?):(?:80)?|(https://[^/]*?):(?:443)?)\z", "$1$2")
     rest = F.regexp_replace(F.regexp_replace(u, _HEAD, ""), r"^(?!/)", "/")
-    return F.concat(blank_to_null(F.lower(_head(u))), rest)
+    resolved = let(rest, lambda r: F.when(F.rlike(r, F.lit(r"^[^?#]*(?:/(?:\.|%2[eE])|\\)")), _without_dots(r)).otherwise(r))
+    return F.concat(blank_to_null(head), let(resolved, encode_path))
+
+
+def _without_dots(rest: Column) -> Column:
+    """Path and what follows it, with back slashes as slashes and the segments . and .. resolved; above the root there is nothing."""
+    dots = lambda x: F.regexp_replace(x, "(?i)%2e", ".")
+    step = lambda seen, x: F.when(dots(x) == ".", seen).when(dots(x) == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.array_append(seen, x))
+
+    def joined(parts: Column) -> Column:
+        ends = dots(F.element_at(parts, -1)).isin(".", "..")
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return F.concat(F.lit("/"), let(kept, lambda k: F.concat(F.array_join(k, "/"), F.when(ends & (F.size(k) > 0), "/").otherwise(""))))
+
+    path = F.translate(F.regexp_extract(rest, r"^[^?#]*", 0), "\\", "/")
+    return F.concat(let(F.slice(F.split(path, "/"), 2, 2**30), joined), F.regexp_extract(rest, r"^[^?#]*(.*)\z", 1))
 
 
 def without_fragment(url: Column) -> Column:
@@ -40,7 +61,7 @@ def normalize_discovered(url: Column | str) -> Column:
 
 def normalize_persisted(url: Column | str) -> Column:
     """Without fragment; one final slash goes unless the path is the root. Input that is no absolute URL stays."""
-    return F.coalesce(F.regexp_replace(without_fragment(canonical(url)), r"^([a-z]+://[^/]+/[^?].*)/\z", "$1"), text(url))
+    return F.coalesce(F.regexp_replace(without_fragment(canonical(url)), r"^([a-z]+://[^/]+/(?!\?|\z).*|[a-z]+://[^/]+/)/\z", "$1"), text(url))
 
 
 def host(url: Column | str) -> Column:
@@ -64,22 +85,26 @@ def pathname(url: Column | str) -> Column:
     return F.regexp_extract(canonical(url), r"^[a-z]+://[^/]+([^?#]*)", 1)
 
 
+#: Characters that stand in a URL as they are.
+_URL_CHARS = r"^[\x21\x23-\x3B\x3D\x3F-\x5F\x61-\x7A\x7C\x7E]*\z"
+
+
 def encode_path(path: Column) -> Column:
-    """Path with its non-ASCII characters percent-encoded."""
-    encoded = F.transform(F.split(path, ""), lambda c: F.when(F.rlike(c, F.lit(r"^[\x00-\x7F]*\z")), c).otherwise(F.url_encode(c)))
-    return F.when(F.rlike(path, F.lit(r"^[\x00-\x7F]*\z")), path).otherwise(F.array_join(encoded, ""))
+    """Path, and what follows it, with blanks, quotes, brackets, braces and all that is not ASCII percent-encoded."""
+    encoded = F.transform(F.split(path, ""), lambda c: F.when(F.rlike(c, F.lit(_URL_CHARS)), c).when(c == " ", "%20").otherwise(F.url_encode(c)))
+    return F.when(F.rlike(path, F.lit(_URL_CHARS)), path).otherwise(F.array_join(encoded, ""))
 
 
 def slug(url: Column | str) -> Column:
-    """File name of a page: its path with dashes for slashes, other marks dropped, at most 120 characters; the query does not count."""
-    inner = F.btrim(pathname(url), F.lit("/"))
-    flat = F.regexp_replace(F.replace(encode_path(inner), F.lit("/"), F.lit("-")), "[^a-zA-Z0-9_-]", "")
+    """File name of a page: its path without one slash on either side, dashes for slashes, other marks dropped, at most 120 characters; the query does not count."""
+    inner = F.regexp_replace(pathname(url), r"^/|/\z", "")
+    flat = F.regexp_replace(F.replace(inner, F.lit("/"), F.lit("-")), "[^a-zA-Z0-9_-]", "")
     return F.coalesce(blank_to_null(F.when(inner == "", F.lit("index")).otherwise(F.substring(flat, 1, 120))), F.lit("page"))
 
 
 def tags(url: Column | str) -> Column:
     """Up to eight distinct lower-case path segments without extension and common words."""
-    cut = F.transform(F.split(encode_path(pathname(url)), "/"), lambda s: trim(F.regexp_replace(s, r"(?i)\.[a-z0-9]+\z", "")))
+    cut = F.transform(F.split(pathname(url), "/"), lambda s: trim(F.regexp_replace(s, r"(?i)\.[a-z0-9]+\z", "")))
     kept = F.filter(F.transform(cut, F.lower), lambda s: (F.length(s) > 1) & ~s.isin(*TAG_STOPWORDS))
     return F.coalesce(F.slice(F.array_distinct(kept), 1, 8), F.array().cast("array<string>"))
 
@@ -115,7 +140,7 @@ def is_pdf_path(value: Column | str) -> Column:
 
 def pdf_slug(url: Column | str) -> Column:
     """File name of a PDF: last path segment without extension, other characters as dashes, at most 80."""
-    base = F.element_at(F.split(encode_path(pathname(url)), "/"), -1)
+    base = F.element_at(F.split(pathname(url), "/"), -1)
     flat = F.regexp_replace(F.regexp_replace(base, r"(?i)\.pdf\z", ""), "[^a-zA-Z0-9_-]+", "-")
     return F.coalesce(blank_to_null(F.substring(F.regexp_replace(flat, r"^-|-\z", ""), 1, 80)), F.lit("document"))
 

@@ -67,41 +67,46 @@ def latest(rows: DataFrame, keys: Sequence[str], order: str, first: bool = False
     return rows.groupBy(*keys).agg(pick(whole, F.col(order)).alias("_row")).select("_row.*")
 
 
+def _saved_by(saved: DataFrame, key: str, order: str, pick) -> DataFrame:
+    """One entry (slug, title) of each domain and key ('url' or 'slug'), the first or last in order; entries without the key give none."""
+    entries = saved.select(F.col("domain").alias("_d"), F.col(order).alias("_o"), urls.normalize_persisted("url").alias("_url"), F.col("slug").alias("_slug"), F.col("title").alias("_title"))
+    found = entries.where(F.col(f"_{key}").isNotNull()).groupBy(F.col("_d").alias(f"_{key}_domain"), F.col(f"_{key}").alias(f"_{key}_key"))
+    return found.agg(pick(F.struct(F.col("_slug").alias("slug"), F.col("_title").alias("title")), F.col("_o")).alias(f"_by_{key}"))
+
+
+def _looked_up(session: DataFrame, saved: DataFrame, order: str, pick) -> DataFrame:
+    """session (with columns _domain, _k and _ks) with the saved entry of its domain by URL (_by_url) and by slug (_by_slug)."""
+    for key, own in (("url", "_k"), ("slug", "_ks")):
+        hit = _saved_by(saved, key, order, pick)
+        session = session.join(hit, (F.col("_domain") == F.col(f"_{key}_domain")) & (F.col(own) == F.col(f"_{key}_key")), "left")
+    return session
+
+
 def resume(session: DataFrame, saved: DataFrame, order: str = "seq") -> DataFrame:
-    """Session rows with what is saved of them: page_id, url, matched_by ('url', 'slug' or null), status, selected, saved_slug, saved_title.
+    """Session rows with what is saved of their domain: page_id, url, matched_by ('url', 'slug' or null), status, selected, saved_slug, saved_title.
 
     A saved page matches by URL, else by the slug that the session URL gives; of saved pages with one key the last counts. A match sets
-    the status to done and takes the selection away.
+    the status to done and takes the selection away; pages that were being fetched wait again.
     """
-    entries = saved.select(F.col(order).alias("_o"), urls.normalize_persisted("url").alias("_url"), F.col("slug").alias("_slug"), F.col("title").alias("_title"))
-    by_url = entries.where("_url IS NOT NULL").groupBy("_url").agg(F.max_by(F.struct("_slug", "_title"), "_o").alias("_mu"))
-    by_slug = entries.where("_slug IS NOT NULL").groupBy("_slug").agg(F.max_by(F.struct("_slug", "_title"), "_o").alias("_ms"))
-    keyed = session.select("page_id", "url", "status", "selected", urls.normalize_persisted("url").alias("_k"), urls.slug("url").alias("_ks"))
-    joined = keyed.join(by_url, F.col("_k") == F.col("_url"), "left").join(by_slug.withColumnRenamed("_slug", "_s2"), F.col("_ks") == F.col("_s2"), "left")
-    match = F.coalesce("_mu", "_ms")
+    keyed = restored(session).select("page_id", "url", "status", "selected", urls.domain_key("url").alias("_domain"), urls.normalize_persisted("url").alias("_k"), urls.slug("url").alias("_ks"))
+    joined = _looked_up(keyed, saved, order, F.max_by)
+    match = F.coalesce("_by_url", "_by_slug")
     return joined.select(
         "page_id",
         "url",
-        F.when(F.col("_mu").isNotNull(), "url").when(F.col("_ms").isNotNull(), "slug").alias("matched_by"),
+        F.when(F.col("_by_url").isNotNull(), "url").when(F.col("_by_slug").isNotNull(), "slug").alias("matched_by"),
         F.when(match.isNotNull(), "done").otherwise(F.col("status")).alias("status"),
         F.when(match.isNotNull(), F.lit(False)).otherwise(F.col("selected")).alias("selected"),
-        match["_slug"].alias("saved_slug"),
-        match["_title"].alias("saved_title"),
+        match["slug"].alias("saved_slug"),
+        match["title"].alias("saved_title"),
     )
 
 
 def preview(session: DataFrame, saved: DataFrame, order: str = "seq") -> DataFrame:
-    """page_id, saved_slug, saved_title: the first saved page with the session row's URL or slug; rows without one give nulls.
-
-    Both keys compete by order, so each is looked up and the earlier hit wins.
-    """
-    entries = saved.select(F.col(order).alias("_o"), urls.normalize_persisted("url").alias("_url"), F.col("slug").alias("_slug"), F.col("title").alias("_title"))
-    first = lambda key: entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("_o", F.col("_slug").alias("slug"), F.col("_title").alias("title"))).alias("hit"))
-    by_url, by_slug = first("_url").withColumnRenamed("hit", "_hu"), first("_slug").withColumnRenamed("hit", "_hs")
-    keyed = session.select("page_id", urls.normalize_persisted("url").alias("_k"), F.col("slug").alias("_ks"))
-    joined = keyed.join(by_url, F.col("_k") == F.col("_url"), "left").join(by_slug, F.col("_ks") == F.col("_slug"), "left")
-    hit = F.least("_hu", "_hs")
-    return joined.select("page_id", hit["slug"].alias("saved_slug"), hit["title"].alias("saved_title"))
+    """page_id, saved_slug, saved_title: the first saved page of the session row's domain with its URL, else the first with its slug; rows without one give nulls."""
+    keyed = session.select("page_id", urls.domain_key("url").alias("_domain"), urls.normalize_persisted("url").alias("_k"), F.col("slug").alias("_ks"))
+    hit = F.coalesce("_by_url", "_by_slug")
+    return _looked_up(keyed, saved, order, F.min_by).select("page_id", hit["slug"].alias("saved_slug"), hit["title"].alias("saved_title"))
 
 
 def patch(rows: DataFrame, patches: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:

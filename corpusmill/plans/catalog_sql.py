@@ -71,7 +71,7 @@ def pathname(url: str) -> str:
 
 
 def slug(url: str) -> str:
-    inner = f"trim({pathname(url)}, '/')"
+    inner = f"regexp_replace({pathname(url)}, '^/|/$', '', 'g')"
     return f"coalesce(nullif(CASE WHEN {inner} = '' THEN 'index' ELSE substr(regexp_replace(replace({inner}, '/', '-'), '[^a-zA-Z0-9_-]', '', 'g'), 1, 120) END, ''), 'page')"
 
 
@@ -168,7 +168,7 @@ _SECTIONS = rf"""{LINES},
  sections AS (SELECT t.page_id, m.i, m.h AS heading, m.level::BIGINT AS level, {n_words('t.x')}::BIGINT AS word_count, {n_tokens('t.x')} AS token_estimate FROM texts t JOIN marked m ON m.page_id = t.page_id AND m.i = t.sec WHERE {n_words('t.x')} >= 5)"""
 
 _MANIFEST = f"""manifest AS (SELECT * EXCLUDE (ms, mu, norm) FROM (SELECT *, max(seq) OVER (PARTITION BY domain, slug) AS ms, max(seq) OVER (PARTITION BY domain, norm) AS mu FROM (SELECT *, {persisted('url')} AS norm FROM manifest_entries)) WHERE seq = ms AND seq = mu)"""
-_SAVED = f"""{_MANIFEST}, saved AS (SELECT seq, {persisted('url')} AS norm, slug, title FROM manifest)"""
+_SAVED = f"""{_MANIFEST}, saved AS (SELECT seq, domain, {persisted('url')} AS norm, slug, title FROM manifest)"""
 _GRAPH = rf"""e AS (SELECT domain, src, trim(href) AS h FROM link_edges WHERE src IS NOT NULL AND href IS NOT NULL AND NOT regexp_matches(trim(href), '^(#|(?i:mailto:|javascript:|tel:))') AND trim(href) <> ''),
  o AS (SELECT domain, h, {canonical('src')} AS c, {discovered('src')} AS source FROM e),
  a AS (SELECT domain, source, regexp_extract(c, '^([a-z][a-z0-9+.\-]*://[^/?#]*)', 1) AS origin, h FROM o),
@@ -226,14 +226,14 @@ ORACLE = {
     "manifest_fresh": f"""WITH {_MANIFEST}, newest AS (SELECT strftime(CAST(substr(max(scraped_at), 1, 10) AS DATE) - INTERVAL 12 MONTH, '%Y-%m-%d') AS day FROM manifest)
  SELECT tag, count(*) AS n_entries, count(DISTINCT domain) AS n_domains FROM (SELECT unnest(tags) AS tag, domain FROM manifest WHERE substr(scraped_at, 1, 10) > (SELECT day FROM newest)) GROUP BY tag""",
     "unchanged_entries": "SELECT domain, sum(n - 1)::BIGINT AS n_unchanged FROM (SELECT domain, slug, content_hash, count(*) AS n FROM manifest_entries WHERE content_hash IS NOT NULL GROUP BY ALL) GROUP BY domain",
-    "resume_join": f"""WITH {_SAVED}, by_url AS (SELECT norm, max(seq) AS seq FROM saved WHERE norm IS NOT NULL GROUP BY norm), by_slug AS (SELECT slug, max(seq) AS seq FROM saved WHERE slug IS NOT NULL GROUP BY slug),
- keyed AS (SELECT page_id, url, status, selected, {persisted('url')} AS k, {slug('url')} AS ks FROM discovered_pages)
+    "resume_join": f"""WITH {_SAVED}, by_url AS (SELECT domain, norm, max(seq) AS seq FROM saved WHERE norm IS NOT NULL GROUP BY ALL), by_slug AS (SELECT domain, slug, max(seq) AS seq FROM saved WHERE slug IS NOT NULL GROUP BY ALL),
+ keyed AS (SELECT page_id, url, CASE WHEN status = 'scraping' THEN 'pending' ELSE status END AS status, selected, {domain('url')} AS d, {persisted('url')} AS k, {slug('url')} AS ks FROM discovered_pages)
  SELECT d.page_id, d.url, CASE WHEN u.seq IS NOT NULL THEN 'url' WHEN s.seq IS NOT NULL THEN 'slug' END AS matched_by, CASE WHEN coalesce(u.seq, s.seq) IS NOT NULL THEN 'done' ELSE d.status END AS status,
   CASE WHEN coalesce(u.seq, s.seq) IS NOT NULL THEN false ELSE d.selected END AS selected, m.slug AS saved_slug, m.title AS saved_title
- FROM keyed d LEFT JOIN by_url u ON d.k = u.norm LEFT JOIN by_slug s ON d.ks = s.slug LEFT JOIN saved m ON m.seq = coalesce(u.seq, s.seq)""",
-    "preview_lookup": f"""WITH {_SAVED}, by_url AS (SELECT norm, min(seq) AS seq FROM saved WHERE norm IS NOT NULL GROUP BY norm), by_slug AS (SELECT slug, min(seq) AS seq FROM saved WHERE slug IS NOT NULL GROUP BY slug),
- keyed AS (SELECT page_id, {persisted('url')} AS k, slug FROM discovered_pages)
- SELECT d.page_id, m.slug AS saved_slug, m.title AS saved_title FROM keyed d LEFT JOIN by_url u ON d.k = u.norm LEFT JOIN by_slug s ON d.slug = s.slug LEFT JOIN saved m ON m.seq = least(u.seq, s.seq)""",
+ FROM keyed d LEFT JOIN by_url u ON d.d = u.domain AND d.k = u.norm LEFT JOIN by_slug s ON d.d = s.domain AND d.ks = s.slug LEFT JOIN saved m ON m.seq = coalesce(u.seq, s.seq)""",
+    "preview_lookup": f"""WITH {_SAVED}, by_url AS (SELECT domain, norm, min(seq) AS seq FROM saved WHERE norm IS NOT NULL GROUP BY ALL), by_slug AS (SELECT domain, slug, min(seq) AS seq FROM saved WHERE slug IS NOT NULL GROUP BY ALL),
+ keyed AS (SELECT page_id, {domain('url')} AS d, {persisted('url')} AS k, slug FROM discovered_pages)
+ SELECT d.page_id, m.slug AS saved_slug, m.title AS saved_title FROM keyed d LEFT JOIN by_url u ON d.d = u.domain AND d.k = u.norm LEFT JOIN by_slug s ON d.d = s.domain AND d.slug = s.slug LEFT JOIN saved m ON m.seq = coalesce(u.seq, s.seq)""",
     "patched_session": "WITH p AS (SELECT page_id, arg_max({'u': final_url, 't': extracted_title}, fetch_id) AS x FROM fetched_pages WHERE page_id IS NOT NULL GROUP BY page_id) SELECT d.page_id, coalesce(p.x.u, d.url) AS url, coalesce(p.x.t, d.title) AS title, d.status FROM discovered_pages d LEFT JOIN p USING (page_id)",
     "session_progress": f"""WITH c AS (SELECT {host('url')} AS host, count(*) AS n_pages, count(*) FILTER (selected) AS n_selected, count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'error') AS n_error, count(*) FILTER (status IS DISTINCT FROM 'done') AS n_remaining FROM discovered_pages GROUP BY 1)
  SELECT *, floor((n_done + n_error)::DOUBLE / CASE WHEN n_selected > 0 THEN n_selected ELSE n_pages END * 100 + 0.5)::BIGINT AS progress FROM c""",

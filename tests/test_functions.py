@@ -61,7 +61,9 @@ def test_completeness(spark, markdown, title, method, words, headings, richness,
     [
         ("https://x.com/a/#t", "https://x.com/a", "https://x.com/a", "a", "x-com"), ("https://x.com/", "https://x.com", "https://x.com/", "index", "x-com"),
         ("https://X.com/en/474.html", "https://x.com/en/474.html", "https://x.com/en/474.html", "en-474html", "x-com"), ("https://x.com/a_b/c-d?p=1", "https://x.com/a_b/c-d?p=1", "https://x.com/a_b/c-d?p=1", "a_b-c-d", "x-com"),
-        ("https://x.com/für", "https://x.com/für", "https://x.com/für", "fC3BCr", "x-com"), ("nonsense", None, "nonsense", "page", None), (None, None, None, "page", None), ("https://x.com/?a/", "https://x.com/?a", "https://x.com/?a/", "index", "x-com"),
+        ("https://x.com/für x", "https://x.com/f%C3%BCr%20x", "https://x.com/f%C3%BCr%20x", "fC3BCr20x", "x-com"), ("https://x.com:443/a/../b", "https://x.com/b", "https://x.com/b", "b", "x-com"), ("http://X.com:80", "http://x.com", "http://x.com/", "index", "x-com"),
+        ("http://x.com:443/./a/./", "http://x.com:443/a", "http://x.com:443/a", "a", "x-com"), ("https://x.com/../../a/b/..?q=/../", "https://x.com/a/?q=/..", "https://x.com/a/?q=/..", "a", "x-com"), ("https://x.com//a//", "https://x.com//a/", "https://x.com//a/", "-a-", "x-com"),
+        ("https://x.com/a/%2E%2e/b/%2e", "https://x.com/b", "https://x.com/b", "b", "x-com"), ("https://x.com//", "https://x.com/", "https://x.com/", "index", "x-com"), ("nonsense", None, "nonsense", "page", None), (None, None, None, "page", None), ("https://x.com/?a/", "https://x.com/?a", "https://x.com/?a/", "index", "x-com"),
     ],
 )
 def test_urls(spark, url, discovered, persisted, slug, domain):

@@ -36,11 +36,18 @@ def test_index_lines_number_across_blocks(spark):
     assert sorted(got) == [(i * 7, i + 1) for i in range(1000)]
 
 
-def test_resume_prefers_url_and_last(spark):
-    session = spark.createDataFrame([(1, "https://x.com/a/", "pending", True), (2, "https://x.com/b", "error", True), (3, "https://x.com/none", "scraping", True)], "page_id int, url string, status string, selected boolean")
-    saved = spark.createDataFrame([(1, "https://x.com/a", "zz", "old"), (2, "https://x.com/a", "zz", "new"), (3, "https://y.com/q", "b", "by slug"), (4, None, None, None)], "seq int, url string, slug string, title string")
+def test_resume_and_preview_by_domain(spark):
+    session = spark.createDataFrame(
+        [(1, "https://x.com/a/", "pending", True, "a"), (2, "https://x.com/b", "error", True, "b"), (3, "https://x.com/none", "scraping", True, None), (4, "https://x.com/", "pending", True, "index"), (5, "nonsense", "pending", True, "b"), (6, None, None, None, None)],
+        "page_id int, url string, status string, selected boolean, slug string",
+    )
+    saved = spark.createDataFrame(
+        [(1, "x-com", "https://x.com/a", "zz", "old"), (2, "x-com", "https://x.com/a", "zz", "new"), (3, "x-com", "https://x.com/q", "b", "by slug"), (4, None, None, None, None), (5, "y-com", "https://y.com/", "index", "another host"), (0, "x-com", "https://x.com/w", "a", "slug of 1")],
+        "seq int, domain string, url string, slug string, title string",
+    )
     got = {r.page_id: (r.matched_by, r.status, r.selected, r.saved_title) for r in corpus.resume(session, saved).collect()}
-    assert got == {1: ("url", "done", False, "new"), 2: ("slug", "done", False, "by slug"), 3: (None, "scraping", True, None)}
+    assert got == {1: ("url", "done", False, "new"), 2: ("slug", "done", False, "by slug"), 3: (None, "pending", True, None), 4: (None, "pending", True, None), 5: (None, "pending", True, None), 6: (None, None, None, None)}
+    assert {r.page_id: r.saved_title for r in corpus.preview(session, saved).collect()} == {1: "old", 2: "by slug", 3: None, 4: None, 5: None, 6: None}
 
 
 def test_progress_and_eta(spark):
