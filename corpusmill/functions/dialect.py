@@ -25,8 +25,8 @@ def trim(x: Column | str) -> Column:
 
 
 def collapse(x: Column | str) -> Column:
-    """Each run of blanks as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(text(x), f"[{WS}]+", " "), F.lit(" "))
+    """Each run of blanks as one space, none at the ends. Single spaces, nearly all of them, are no match."""
+    return F.btrim(F.regexp_replace(text(x), f" [{WS}]+|[{WS.replace(' ', '')}][{WS}]*", " "), F.lit(" "))
 
 
 def lines(x: Column | str) -> Column:

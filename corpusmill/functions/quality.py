@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import EOL, WS, lines, round_half_up, text, trim
+from .dialect import EOL, WS, let, lines, round_half_up, text, trim
 from .text import count_words
 
 
@@ -33,14 +33,14 @@ def short_line_ratio(markdown: Column | str) -> Column:
     """Share of lines under five words among lines that are no headings, fences or table rows; 0 below five such lines."""
     marks = lambda x: F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("```")) | F.startswith(x, F.lit("|"))
     kept = F.filter(F.transform(lines(markdown), trim), lambda x: (x != "") & ~marks(x))
-    short = F.filter(kept, lambda x: F.regexp_count(x, F.lit(rf"[^{WS}]+")) < 5)
-    return F.when(F.size(kept) < 5, F.lit(0.0)).otherwise(F.size(short) / F.size(kept))
+    short = lambda ls: F.filter(ls, lambda x: F.size(F.split(x, f"[{WS}]+", 5)) < 5)
+    return let(kept, lambda ls: F.when(F.size(ls) < 5, F.lit(0.0)).otherwise(F.size(short(ls)) / F.size(ls)))
 
 
 def duplicate_line_ratio(markdown: Column | str) -> Column:
     """Share of repetitions among lines over ten characters; 0 below five such lines."""
     kept = F.filter(F.transform(lines(markdown), trim), lambda x: F.length(x) > 10)
-    return F.when(F.size(kept) < 5, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(kept)) / F.size(kept))
+    return let(kept, lambda ls: F.when(F.size(ls) < 5, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(ls)) / F.size(ls)))
 
 
 def structural_richness(markdown: Column | str) -> Column:

@@ -46,8 +46,7 @@ def estimate_tokens(x: Column | str) -> Column:
 
 def count_words(x: Column | str) -> Column:
     """Runs of non-blanks."""
-    flat = collapse(x)
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " "))).cast("bigint")
+    return let(trim(x), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{WS}]+")))).cast("bigint")
 
 
 def content_hash(x: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""The markdown cleaner: native steps of functions.text, and in between two Arrow passes for the steps that look across lines.
+"""The markdown cleaner: native steps of functions.text, and in between Arrow functions, of the pages that need them, for the steps that look across lines.
 
 A repeated group over thousands of lines exhausts the stack of Spark's regex engine, so resource cards, naming lists,
 product sections, tables and runs of broken links are read line by line in Python instead, one page a row.
@@ -7,10 +7,10 @@ product sections, tables and runs of broken links are read line by line in Pytho
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,7 +23,7 @@ CTA_TYPES = {
 # Document types named in a card's text.
 NAMED_TYPES = ("White Paper", "Success Story", "Product Brief", "Solution Brief", "Datasheet", "Brochure", "Product Review")
 
-_CARD_LINK = re.compile(r"\[(?:Read|Download|Check out)[^\]]+\]\(([^)]+)\)")
+_CARD_LINK = re.compile(r"^\[(?:Read|Download|Check out)[^\]]+\]\(([^)]+)\)", re.M)
 _CTA_LABEL = re.compile(r"\[((?:read|download|check out)[^\]]+)\]", re.I)
 _HEAD3 = re.compile(r"### (.+)")
 _TABLE_LINE = re.compile(r"\s*\|.+\|\s*")
@@ -39,7 +39,7 @@ def doc_type(label: str, block: str) -> str:
     for kind in NAMED_TYPES:
         if kind.lower() in around:
             return kind
-    return "PDF" if re.search(r"\.pdf(?:$|[?#])", block, re.I | re.M) else "Document"
+    return "PDF" if re.search(r"\.pdf(?:\Z|[?#])", block, re.I) else "Document"
 
 
 def _between(lines: list[str], start, stops) -> tuple[int, int] | None:
@@ -51,22 +51,21 @@ def _between(lines: list[str], start, stops) -> tuple[int, int] | None:
     return None
 
 
-def cards(lines: list[str]) -> Iterator[tuple[int, int, str, str]]:
-    """(first line, last line, title, url) of resource cards: a level-three heading and, before the next one, a line with a reading link."""
-    k = 0
-    while k < len(lines):
-        head = _HEAD3.fullmatch(lines[k])
-        if head:
-            j = k + 1
-            while j < len(lines) and not lines[j].startswith("### "):
-                link = _CARD_LINK.search(lines[j])
-                if link:
-                    yield k, j, head[1].strip(), link[1].strip()
-                    break
-                j += 1
-            k = max(j, k + 1) if j < len(lines) and lines[j].startswith("### ") else j + 1
-        else:
-            k += 1
+def cards(text: str, over_heads: bool = False) -> Iterator[tuple[int, re.Match, str]]:
+    """(start, link, title) of resource cards: a level-three heading and, at the start of a later line, a reading link. A card that has none before the next
+    heading of its level is no card, or takes the next one in if over_heads.
+    """
+    links, at = list(_CARD_LINK.finditer(text)), 0
+    heads = list(re.finditer(r"^### (.+)\n", text, re.M))
+    for head, after in zip(heads, [*heads[1:], None], strict=False):
+        while at < len(links) and links[at].start() < head.end():
+            at += 1
+        if at == len(links):
+            return
+        inside = over_heads or after is None or links[at].start() < after.start()
+        if inside:
+            yield head.start(), links[at], head[1].strip()
+            at += 1
 
 
 def resource_entries(markdown: str) -> list[dict[str, str]]:
@@ -79,12 +78,13 @@ def resource_entries(markdown: str) -> list[dict[str, str]]:
     found = _between(lines, lambda x: x.strip().lower() == "resources" and not x[:1].isspace(), stop)
     if found is None or found[0] >= found[1]:
         found = _between(lines, lambda x: x.rstrip().lower() == "## related documents", lambda x: False)
-    scope = lines[found[0] : found[1]] if found and found[0] < found[1] else lines
+    scope = "\n".join(lines[found[0] : found[1]] if found and found[0] < found[1] else lines)
     out, seen = [], set()
-    for first, last, title, url in cards(scope):
+    for start, link, title in cards(scope):
+        url = link[1].strip()
         if url.lower() not in seen:
             seen.add(url.lower())
-            block = "\n".join(scope[first : last + 1])
+            block = scope[start : link.end()]
             label = _CTA_LABEL.search(block)
             out.append({"title": title, "url": url, "type": doc_type(label[1] if label else "", block)})
     return out
@@ -99,14 +99,15 @@ def remove_resource_cards(text: str) -> str:
     if found is None:
         return text
     first, end = found
-    inner = lines[first:end]
-    gone = set()
-    for a, b, _, _ in cards(inner):
-        inner[b] = _CARD_LINK.sub("", inner[b], count=1).strip()
-        gone.update(range(a, b + (not inner[b])))
-    left = "\n".join(x for k, x in enumerate(inner) if k not in gone).strip()
-    kept = ["## Resources", "", left, ""] if left else []
-    return "\n".join([*lines[: first - 1], *kept, *lines[end:]])
+    inner, kept, at = "\n".join(lines[first:end]) + ("\n" if end < len(lines) else ""), [], 0
+    for start, link, _ in cards(inner, over_heads=True):
+        if start >= at:
+            kept.append(inner[at:start])
+            at = link.end()
+            while at < len(inner) and inner[at].isspace():
+                at += 1
+    left = ("".join(kept) + inner[at:]).strip()
+    return "\n".join([*lines[: first - 1], *(["## Resources", "", left, ""] if left else []), *lines[end:]])
 
 
 def remove_naming_lists(text: str) -> str:
@@ -246,20 +247,20 @@ _ENTRY = pa.struct([("title", pa.string()), ("url", pa.string()), ("type", pa.st
 ENTRIES = "array<struct<title:string,url:string,type:string>>"
 
 
-def _python(rows: DataFrame, columns: dict[str, tuple], made: dict[str, str]) -> DataFrame:
-    """rows with columns of Python string functions: name -> (function, input column); made names the DDL type of each."""
-    names, ddl = rows.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in made)
-    kept = [n for n in names if n not in made]
-    inputs = sorted({c for _, c in columns.values()})
+def _udf(f: Callable[[str], object], kind: pa.DataType, ddl: str) -> Callable[[Column], Column]:
+    """A column function of a Python function of a text, by Arrow batches; only the text leaves the JVM, and null stays null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f(x) for x in texts.to_pylist()], kind)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    # Not to be folded into the step after it, where it would be computed for each use.
+    return F.arrow_udf(run, ddl).asNondeterministic()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = {c: batch.column(len(kept) + k).to_pylist() for k, c in enumerate(inputs)}
-            new = [pa.array([None if v is None else f(v) for v in values[c]], pa.list_(_ENTRY) if made[n] == ENTRIES else pa.string()) for n, (f, c) in columns.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*kept, *columns])
 
-    sent = rows.select(*kept, *(F.col(c).alias(f"_in{k}") for k, c in enumerate(inputs)))
-    return sent.mapInArrow(run, ddl + ", " + ", ".join(f"`{n}` {made[n]}" for n in columns)).select(*kept, *columns)
+def _where(needs: Column, x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the texts that need it, others as they are."""
+    return F.coalesce(f(F.when(needs, x)), x)
 
 
 def _late(text: str) -> str:
@@ -272,14 +273,18 @@ def clean(pages: DataFrame, markdown: str = "markdown", into: str = "body") -> D
     The order of the steps shows in the result: resources come from the text as it is, headings of level four to six lose
     user-interface labels before they turn into lines, and noise goes twice.
     """
-    first = pages.withColumn("_x", T.strip_residual_html(T.normalize_encoding(markdown))).withColumn("_raw", F.col(markdown))
-    one = _python(first, {"_x": (remove_broken_links, "_x"), "resources": (resource_entries, "_raw")}, {"_x": "string", "resources": ENTRIES})
-    x = T.flatten_subheadings(T.remove_control_bursts(T.remove_ui_headings(T.remove_noise_lines(T.strip_artifacts("_x")))))
-    two = _python(one.withColumn("_x", x), {"_x": (remove_resource_cards, "_x")}, {"_x": "string"})
+    text_of = lambda f: _udf(f, pa.string(), "string")
+    entries = _udf(resource_entries, pa.list_(_ENTRY), ENTRIES)
+    raw, x = F.col(markdown), F.col("_x")
+    linked = F.contains(raw, F.lit("### ")) & F.rlike(raw, F.lit(r"\[(?:Read|Download|Check out)"))
+    first = pages.withColumn("_x", T.strip_residual_html(T.normalize_encoding(markdown)))
+    one = first.withColumn("resources", F.when(raw.isNotNull(), F.coalesce(entries(F.when(linked, raw)), F.array().cast(ENTRIES)))).withColumn("_x", _where(F.rlike(x, F.lit(r"\[\s|\[\*\[")), x, text_of(remove_broken_links)))
+    plain = one.withColumn("_x", T.flatten_subheadings(T.remove_control_bursts(T.remove_ui_headings(T.remove_noise_lines(T.strip_artifacts("_x"))))))
+    two = plain.withColumn("_x", _where(F.rlike(x, F.lit(r"(?im)^(?:## )?resources\s*$")), x, text_of(remove_resource_cards)))
     listed = F.array_join(F.transform("resources", lambda r: F.concat(F.lit("- **"), r["title"], F.lit("** ("), r["type"], F.lit("): "), r["url"])), "\n")
     body = T.dedupe_sections(T.remove_trailing_ui_sections("_x"))
-    body = F.when(F.size("resources") > 0, F.concat(F.btrim(body, F.lit(" \n")), F.lit("\n\n## Related documents\n\n"), listed)).otherwise(body)
-    three = _python(two.withColumn("_x", body), {"_x": (_late, "_x")}, {"_x": "string"})
+    related = two.withColumn("_x", body).withColumn("_x", F.when(F.size("resources") > 0, F.concat(F.btrim("_x", F.lit(" \n")), F.lit("\n\n## Related documents\n\n"), listed)).otherwise(x))
+    shaped = F.contains(x, F.lit("### ")) | F.contains(x, F.lit("|")) | F.rlike(x, F.lit(r"(?im)^(?:naming conventions|## available models)\s*$"))
+    three = related.withColumn("_x", _where(shaped, x, text_of(_late)))
     y = F.regexp_replace(T.dedupe_paragraphs("_x"), r"(?m)^\\?\]\([^)\n]+\)[ \t]*$", "")
-    done = T.normalize_whitespace(T.remove_ui_headings(T.remove_noise_lines(y)))
-    return three.withColumn(into, done).drop("_x", "_raw")
+    return three.withColumn(into, T.normalize_whitespace(T.remove_ui_headings(T.remove_noise_lines(y)))).drop("_x")

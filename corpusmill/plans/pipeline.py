@@ -42,11 +42,14 @@ def chosen_fetches(fetches: DataFrame) -> DataFrame:
 
 
 def page_bodies(fetches: DataFrame, rag_optimized: bool = True) -> DataFrame:
-    """fetches with page (parsed HTML), title, url, slug and body: the rendered markdown, else the HTML's, cleaned if wanted."""
+    """fetches with title, url, slug, description and last_updated of the head, and body: the rendered markdown, else the HTML's, cleaned if wanted. Neither HTML nor its parse goes on."""
     parsed = H.parse(fetches, [c for c in fetches.columns if c != "html"])
-    base = parsed.withColumn("url", F.coalesce(blank_to_null(F.col("final_url")), F.col("url"))).withColumn("markdown", F.coalesce(blank_to_null(F.col("markdown")), F.col("page.markdown")))
-    titled = base.withColumn("title", H.page_title(F.col("extracted_title"), F.col("page"), F.col("url"))).withColumn("slug", urls.slug("url"))
-    return clean(titled) if rag_optimized else titled.withColumn("body", F.col("markdown"))
+    page, url = F.col("page"), F.coalesce(blank_to_null(F.col("final_url")), F.col("url"))
+    taken = parsed.select(
+        *(c for c in fetches.columns if c not in ("html", "url", "markdown", "extracted_title", "final_url")), url.alias("url"), F.coalesce(blank_to_null(F.col("markdown")), page["markdown"]).alias("markdown"),
+        H.page_title(F.col("extracted_title"), page, url).alias("title"), H.meta_description(page).alias("description"), H.last_updated(page).alias("last_updated"),
+    ).withColumn("slug", urls.slug("url"))
+    return clean(taken).drop("markdown") if rag_optimized else taken.withColumnRenamed("markdown", "body")
 
 
 def corpus_pages(fetches: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -56,8 +59,7 @@ def corpus_pages(fetches: DataFrame, as_of: str | None = None) -> DataFrame:
     """
     bodies = page_bodies(chosen_fetches(fetches))
     timed = bodies.withColumn("crawled_at", F.coalesce(F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(as_of)))
-    described = timed.withColumn("description", H.meta_description(F.col("page"))).withColumn("last_updated", H.last_updated(F.col("page"))).drop("page", "markdown", "extracted_title", "final_url")
-    scored = quality_columns(described, "body").withColumnsRenamed({"score": "completeness_score", "grade": "completeness_grade"})
+    scored = quality_columns(timed, "body").withColumnsRenamed({"score": "completeness_score", "grade": "completeness_grade"})
     return documents.page_metadata(scored.withColumn("document_type", F.lit("web-page")))
 
 

@@ -7,7 +7,6 @@ goes: an unclosed paragraph or list item ends where the next one starts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -266,19 +265,16 @@ def _read(html: str, markdown: bool) -> dict:
 
 
 def parse(pages: DataFrame, columns: list[str], html: str = "html", markdown: bool = True) -> DataFrame:
-    """The columns and `page`, a struct of the parsed HTML; null HTML gives a null struct. markdown=False leaves the conversion out."""
-    rows = pages.select(*columns, F.col(html).alias("_html"))
-    kept = [rows.schema[c] for c in columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", page {_PARSED}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                parsed = pa.array([None if h is None else _read(h, markdown) for h in part.column(len(columns)).to_pylist()], _ARROW)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], parsed], names=[*columns, "page"])
-
-    return rows.mapInArrow(run, schema)
+    """The columns and `page`, a struct of the parsed HTML; null HTML gives a null struct. markdown=False leaves the conversion out. Only the HTML leaves the JVM."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([None if h is None else _read(h, markdown) for h in texts.slice(k, 500).to_pylist()], _ARROW) for k in range(0, len(texts), 500)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    # Not to be folded into what reads its fields, where it would be computed for each.
+    read = F.arrow_udf(run, _PARSED).asNondeterministic()
+    return pages.select(*columns, read(F.col(html)).alias("page"))
 
 
 def page_title(extracted: Column, page: Column, url: Column) -> Column:

@@ -91,6 +91,11 @@ def test_cleaner_islands():
     card = "### White paper on fans\ntext\n[Read the white paper](https://x/w.pdf)"
     assert resource_entries("a\nResources\n" + card + "\n### No link\nx") == [{"title": "White paper on fans", "url": "https://x/w.pdf", "type": "White Paper"}]
     assert remove_resource_cards("a\nResources\n" + card + "\nrest of it\n## B\nb") == "a\n## Resources\n\nrest of it\n\n## B\nb"
+    assert resource_entries("### A\nsee [Read the white paper](u) inline\n### B\n[Download datasheet](https://x.com/d)") == [{"title": "B", "url": "https://x.com/d", "type": "Datasheet"}]
+    assert [e["type"] for e in resource_entries("### A\nfile a.pdf\n[Read more](u)\n### B\n[Read more](v.pdf?x)\n### C\nplain")] == ["Document", "PDF"]
+    assert resource_entries("no card") == [] and resource_entries("") == []
+    assert remove_resource_cards("a\nResources\n### No link\nx\n" + card + "  \n\nrest") == "a\n## Resources\n\nrest\n"
+    assert remove_resource_cards("a\n## Resources\n" + card) == "a"
     assert remove_naming_lists("x\nNaming Conventions\n\n- [A](/Product_Naming_Convention_a)\n- [B](/Product_Naming_Convention_b)\ny") == "x\n\ny"
     assert format_product_sections("### P\n*[Image: x]*\nintro\n[link](u)\n* one\nmore\n* two\n## Q") == "### P\n\nintro\nmore\n\n* one\n* two\n\n## Q"
     assert normalize_tables("|a|b|c|\n|---|---|---|\n|1|2|3|\n|1|2|3|\n|x|\n|a|b|c|\n|---|---|---|\n|4|5|6|") == "|a|b|c|\n|---|---|---|\n|1|2|3|\n|4|5|6|"
