@@ -55,6 +55,14 @@ def corpus_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fetches become documents, and under which names."""
+    chosen = pipeline.chosen_fetches(read(spark, sf_dir, "fetched_pages"))
+    url = F.coalesce(F.nullif("final_url", F.lit("")), F.col("url"))
+    return chosen.select("page_id", "fetch_id", urls.domain_key(url).alias("domain"), urls.slug(url).alias("slug"), url.alias("url"), F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("crawled_at"), F.array_join(urls.tags(url), ",").alias("tags"))
+
+
 @query
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = pipeline.quality_columns(pages(spark, sf_dir))

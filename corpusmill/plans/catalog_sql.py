@@ -181,7 +181,41 @@ def kept(x: str) -> str:
     return "NOT (" + " OR ".join(f"contains({x}, '{p}')" for p in _EXCLUDES) + ")"
 
 
+_TAGS = "(SELECT coalesce(string_agg(s, ',' ORDER BY i), '') FROM (SELECT s, min(i) AS i FROM (SELECT unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT {tags} AS l)) GROUP BY s ORDER BY i LIMIT 8))"
+
+
+def decoded(x: str) -> str:
+    """Text of HTML with its named and numbered characters."""
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&#x27;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{entity}', {char})"
+    return x
+
+
+def tag_text(tag: str) -> str:
+    """Text of the first element of a kind; null where it says nothing."""
+    inner = rf"regexp_extract(html, '(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>', 1)"
+    return f"nullif({trim(decoded(f"regexp_replace({inner}, '<[^>]*>', '', 'g')"))}, '')"
+
+
+def meta(name: str) -> str:
+    """Content of a meta element; null where it says nothing."""
+    content = f"""regexp_extract(html, '(?i)<meta[^>]* (?:name|property)="{name}"[^>]* content="([^"]*)"', 1)"""
+    return f"nullif({trim(decoded(content))}, '')"
+
+
+_CHOSEN = f"""newest AS (SELECT arg_max(struct_pack(page_id := page_id, fetch_id := fetch_id, fetched_at := fetched_at, url := coalesce(nullif(final_url, ''), url)), struct_pack(a := fetched_at, b := fetch_id)) AS x FROM fetched_pages WHERE html <> '' OR markdown <> '' GROUP BY page_id),
+ keyed AS (SELECT x.page_id, x.fetch_id, x.fetched_at, x.url, {domain('x.url')} AS domain, {slug('x.url')} AS slug, {persisted('x.url')} AS norm FROM newest),
+ chosen AS (SELECT * FROM (SELECT *, max(fetch_id) OVER (PARTITION BY domain, slug) AS ms, max(fetch_id) OVER (PARTITION BY domain, norm) AS mu FROM keyed) WHERE fetch_id = ms AND fetch_id = mu)"""
+
 ORACLE = {
+    "corpus_documents": f"WITH {_CHOSEN} SELECT page_id, fetch_id, domain, slug, url, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS crawled_at, {_TAGS.format(tags=tags('url'))} AS tags FROM chosen",
+    "page_titles": f"SELECT fetch_id, coalesce(nullif(extracted_title, ''), {tag_text('title')}, {meta('og:title')}, {tag_text('h1')}, final_url) AS title FROM fetched_pages",
+    "page_heads": f"""SELECT fetch_id, CASE WHEN length(d) > 20 THEN substr(regexp_replace(d, '{W}+', ' ', 'g'), 1, 320) END AS description, NULL::VARCHAR AS last_updated
+ FROM (SELECT fetch_id, coalesce({meta('description')}, {meta('og:description')}, {meta('twitter:description')}) AS d FROM fetched_pages)""",
+    "page_links": rf"""SELECT fetch_id, (generate_subscripts(l, 1) - 1)::BIGINT AS ord, unnest(l) AS href FROM (SELECT fetch_id,
+  list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: {decoded('x')}), lambda x: NOT regexp_matches(x, '^(#|(?i:mailto:))')) AS l FROM fetched_pages)""",
+    "page_documents": f"""WITH {PAGES}, made AS (SELECT p.page_id, p.url, {title_of('p.title')} AS title, d.discovered_at AS seen, {plain('p.markdown')} AS x FROM pages p JOIN discovered_pages d USING (page_id) WHERE p.url IS NOT NULL)
+ SELECT page_id, url, title, strftime(seen, '%Y-%m-%dT%H:%M:%SZ') AS scraped_at, {n_words('x')}::BIGINT AS content_words, sha256(x) AS content_hash, {n_tokens('x')} AS token_estimate, 'active' AS status, 'web-page' AS document_type FROM made""",
     "quality_report": f"WITH {_QUALITY} SELECT page_id, length(markdown)::BIGINT AS chars, words::BIGINT AS words, headings::BIGINT AS headings, floor(density * 1000000 + 0.5)::BIGINT AS density, floor(short_ratio * 1000000 + 0.5)::BIGINT AS short_ratio, floor(duplicate_ratio * 1000000 + 0.5)::BIGINT AS duplicate_ratio, richness::BIGINT AS richness, array_to_string(warnings, ' | ') AS warnings, score, grade FROM q",
     "quality_by_grade": f"WITH {_QUALITY} SELECT grade, CASE grade WHEN 'excellent' THEN 'default' WHEN 'good' THEN 'secondary' WHEN 'fair' THEN 'outline' ELSE 'destructive' END AS badge, count(*) AS n_pages, floor(avg(score) + 0.5)::BIGINT AS avg_score FROM q GROUP BY grade",
     "warning_counts": f"WITH {_QUALITY} SELECT regexp_replace(w, '[0-9]+', 'N', 'g') AS warning, count(*) AS n_pages FROM (SELECT unnest(warnings) AS w FROM q) GROUP BY 1",

@@ -256,9 +256,10 @@ def _read(html: str, markdown: bool) -> dict:
     head.feed(html)
     head.close()
     words = lambda parts: " ".join("".join(parts).split()) if parts is not None else None
+    whole = lambda parts: "".join(parts) if parts is not None else None
     m = head.meta
     return {
-        "title": words(head.title), "og_title": m.get("og:title"), "h1": words(head.h1), "description": m.get("description"), "og_description": m.get("og:description"),
+        "title": whole(head.title), "og_title": m.get("og:title"), "h1": whole(head.h1), "description": m.get("description"), "og_description": m.get("og:description"),
         "twitter_description": m.get("twitter:description"), "modified_time": m.get("article:modified_time"), "updated_time": m.get("og:updated_time"), "last_modified": m.get("last-modified"),
         "dcterms_modified": m.get("dcterms.modified"), "time": head.time, "links": [{"tag": t, "href": h, "label": words(x)} for t, h, x in head.links], "markdown": html_to_markdown(html) if markdown else None,
     }
@@ -279,7 +280,7 @@ def parse(pages: DataFrame, columns: list[str], html: str = "html", markdown: bo
 
 def page_title(extracted: Column, page: Column, url: Column) -> Column:
     """First of the rendered title, <title>, og:title, the first h1 and the URL that says something."""
-    return F.coalesce(*(blank_to_null(trim(x)) for x in (extracted, page["title"], page["og_title"], page["h1"])), url)
+    return F.coalesce(blank_to_null(extracted), *(blank_to_null(trim(x)) for x in (page["title"], page["og_title"], page["h1"])), url)
 
 
 def meta_description(page: Column) -> Column:
