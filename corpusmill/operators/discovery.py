@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.texts import nested_sitemaps, robots_sitemaps
 
 DEFAULT_EXCLUDES = "/tag/,/author/,/wp-json/,/feed/,?replytocom=,/login,/cart,/mysupermicro,/search?"
 # Places where a site's sitemap is looked for, in order.
 SITEMAP_CANDIDATES = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/sitemaps/sitemap.xml", "/sitemap1.xml", "/post-sitemap.xml", "/page-sitemap.xml")
+ROBOTS = "/robots.txt"
 
 
 def first_seen(found: DataFrame, by: str, url: str, order: str) -> DataFrame:
@@ -62,3 +64,30 @@ def choose(candidates: DataFrame, by: str, rank: str) -> DataFrame:
     """All rows of the best-ranked candidate of each by; a candidate without rows does not compete."""
     best = candidates.groupBy(F.col(by).alias("_by")).agg(F.min(rank).alias("_rank"))
     return candidates.join(best, (F.col(by) == F.col("_by")) & (F.col(rank) == F.col("_rank")), "left_semi")
+
+
+def sitemap_candidates(origins: DataFrame) -> DataFrame:
+    """origin, rank, url: the places where the sitemap of each origin may be, and, ranked last, its robots file."""
+    places = F.array(*(F.lit(x) for x in (*SITEMAP_CANDIDATES, ROBOTS)))
+    return origins.select("origin", F.posexplode(places).alias("rank", "place")).select("origin", "rank", F.concat("origin", "place").alias("url"))
+
+
+def discover(origins: DataFrame, documents: DataFrame, graph: DataFrame, max_depth: int = 3, includes: str = "", excludes: str = DEFAULT_EXCLUDES, fallback_crawl: bool = True) -> DataFrame:
+    """origin, url, source ('sitemap' or 'crawl'): the pages of each origin, from the first sitemap place that names any, else from the sitemaps of its robots file, else by a walk.
+
+    documents (url, text) holds whatever was fetched of sitemap_candidates() and of the sitemaps that those lead to; graph (by origin, source, target) is links() of the pages, read only for origins
+    without a sitemap. URLs of other origins and outside the patterns are left out; a walk starts at the origin itself.
+    """
+    files = documents.select("url", F.col("text").alias("xml"))
+    places = sitemap_candidates(origins).where(F.col("url").isNotNull())
+    listed = nested_sitemaps(files, places.where(~F.endswith("url", F.lit(ROBOTS))).select("url").distinct())
+    named = choose(places.join(listed, F.col("url") == F.col("root")).select("origin", "rank", "loc"), "origin", "rank").select("origin", "loc").checkpoint()
+    rest = origins.select("origin").distinct().join(named.select(F.col("origin").alias("_o")).distinct(), F.col("origin") == F.col("_o"), "left_anti").checkpoint()
+    robots = robots_sitemaps(rest.join(documents, F.concat("origin", F.lit(ROBOTS)) == F.col("url")).select(F.col("origin").alias("url"), "text"))
+    told = robots.select(F.col("url").alias("origin"), "sitemap").distinct().checkpoint()
+    from_robots = told.join(nested_sitemaps(files, told.select(F.col("sitemap").alias("url")).distinct()), F.col("sitemap") == F.col("root")).select("origin", "loc")
+    site = named.unionByName(from_robots).select("origin", urls.normalize_discovered("loc").alias("url"), F.lit("sitemap").alias("source")).checkpoint()
+    if fallback_crawl:
+        left = rest.join(site.select(F.col("origin").alias("_o")).distinct(), F.col("origin") == F.col("_o"), "left_anti").select("origin", F.col("origin").alias("url"))
+        site = site.unionByName(crawl(graph, left, "origin", max_depth, includes, excludes).select("origin", "url", F.lit("crawl").alias("source")))
+    return site.where(urls.same_origin("url", "origin") & urls.matches_patterns("url", includes, excludes)).distinct()

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import urls
 from ..functions.dialect import trim
+from . import documents
 from .cleaner import clean
 
 MAX_PER_PAGE = 100
@@ -122,6 +124,25 @@ def related(pdfs: DataFrame) -> DataFrame:
     return good.groupBy("page_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "slug", "pdf_url"))), lambda x: F.struct(x["title"].alias("title"), x["slug"].alias("slug"), x["pdf_url"].alias("pdf_url"))).alias("related_pdfs"))
 
 
+def with_pdfs(pages: DataFrame, links: DataFrame, texts: DataFrame, download: bool = True, in_body: bool = False) -> DataFrame:
+    """pages (url, body) with related_pdfs, the good extracts of what links (page_url, by pdf_links()) leads to, and with a list of them in the body if wanted.
+
+    Without download nothing is looked up and related_pdfs is null, as it is for pages without a good extract.
+    """
+    if not download:
+        return pages.withColumn("related_pdfs", F.lit(None).cast("array<struct<title:string,slug:string,pdf_url:string>>"))
+    joined = pages.join(related(extracts(links, texts)).withColumnRenamed("page_url", "_page"), F.col("url") == F.col("_page"), "left").drop("_page")
+    return joined.withColumn("body", append_list(F.col("body"), F.col("related_pdfs"))) if in_body else joined
+
+
+def documents_of(pdfs: DataFrame) -> DataFrame:
+    """extracts() with source_page_title and crawled_at, as page files: slug, pdf_url and document, of the good ones."""
+    good = pdfs.where((F.col("body") != "") & F.col("error").isNull()).withColumnRenamed("page_url", "source_page_url")
+    made = documents.pdf_metadata(good)
+    body = T.document_body(F.col("title"), F.col("pdf_url"), F.col("crawled_at"), F.concat(F.lit("## Document\n\n"), trim("body")))
+    return documents.with_documents(made, documents.frontmatter(made), body).select("slug", "pdf_url", "document")
+
+
 def append_list(body: Column, related_pdfs: Column) -> Column:
     """Body with a list of its PDF extracts right below its last line; unchanged where there are none."""
     listed = F.array_join(F.transform(related_pdfs, lambda r: F.concat(F.lit("- **"), r["title"], F.lit("** — "), r["pdf_url"], F.lit("\n"))), "")

@@ -25,9 +25,12 @@ def is_safe(name: Column) -> Column:
 
 
 def write_pages(pages: DataFrame, root: str) -> None:
-    """Page files of complete pages (domain, slug, document) as text, one file a row group under domain=; unsafe names are left out."""
-    rows = pages.where((F.col("document") != "") & is_safe(F.col("domain")) & is_safe(F.col("slug")))
-    rows.select("domain", "slug", "document").write.mode("overwrite").partitionBy("domain").parquet(f"{root}/pages")
+    """Page files (domain, slug, document) as text, in row groups under domain=. ValueError, before anything is written, where a page lacks its document or has a name that leaves its folder."""
+    good = F.coalesce((F.col("document") != "") & is_safe(F.col("domain")) & is_safe(F.col("slug")), F.lit(False))
+    bad = pages.where(~good).select("domain", "slug").first()
+    if bad is not None:
+        raise ValueError(f"not a complete page with plain names: {bad.domain!r}, {bad.slug!r}")
+    pages.select("domain", "slug", "document").write.mode("overwrite").partitionBy("domain").parquet(f"{root}/pages")
 
 
 def write_manifests(entries: DataFrame, root: str, as_of: str) -> None:
@@ -59,6 +62,12 @@ def index_file(entries: DataFrame, as_of: str) -> DataFrame:
     return top.unionByName(corpus.index_lines(entries))
 
 
+def write_index(entries: DataFrame, root: str, as_of: str) -> None:
+    """The index files: the lines of index_file() in their order, as text under domain=."""
+    lines = index_file(entries, as_of)
+    lines.repartitionByRange("domain", "line_no").sortWithinPartitions("domain", "line_no").select("domain", "line").write.mode("overwrite").partitionBy("domain").text(f"{root}/index")
+
+
 def load(spark: SparkSession, root: str, from_manifest: bool = True) -> DataFrame:
     """Saved pages with their parsed frontmatter: those the manifests name and that are there, or all page files."""
     pages = spark.read.parquet(f"{root}/pages")

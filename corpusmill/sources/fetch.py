@@ -60,6 +60,41 @@ def fetch(found: DataFrame, settings: Settings, fetcher: Fetcher = http_fetch, p
     return wanted.repartition(settings.max_concurrency, "url").mapInArrow(run, ddl)
 
 
+def fetch_texts(wanted: DataFrame, settings: Settings, fetcher: Fetcher = http_fetch) -> DataFrame:
+    """url, text of sitemap and robots addresses (url), once each; what cannot be fetched gives a null text."""
+    given = asdict(settings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for url in batch.column(0).to_pylist():
+                try:
+                    text = fetcher(url, given).get("html")
+                except Exception:  # a missing sitemap is no error: the next place is tried
+                    text = None
+                out[0].append(url)
+                out[1].append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["url", "text"])
+
+    return wanted.where(urls.is_absolute("url")).select("url").distinct().repartition(settings.max_concurrency, "url").mapInArrow(run, "url string, text string")
+
+
+def dispatch(rendered: Fetcher | None, static: Fetcher = http_fetch) -> Fetcher:
+    """A fetcher that renders where it can and otherwise, or where rendering fails or gives nothing, fetches the page as it is. The rendered title and URL come first."""
+
+    def either(url: str, given: dict) -> dict:
+        if rendered is not None:
+            try:
+                got = rendered(url, given)
+                if got.get("html") or got.get("markdown"):
+                    return {"final_url": url, **{k: v for k, v in got.items() if v}, "fetch_method": "firecrawl"}
+            except Exception:  # rendering is a service that may be down
+                pass
+        return static(url, given)
+
+    return either
+
+
 def history(runs: DataFrame, most: int = 50) -> DataFrame:
     """The newest runs (scraped_at, success_count) with at least one page."""
     return runs.where("success_count > 0").orderBy(F.col("scraped_at").desc()).limit(most)

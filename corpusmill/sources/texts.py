@@ -27,16 +27,16 @@ def robots_sitemaps(documents: DataFrame, url: str = "url", text: str = "text")
     return named.where("sitemap <> ''")
 
 
-def nested_sitemaps(documents: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+def nested_sitemaps(documents: DataFrame, roots: DataFrame) -> DataFrame:
     """root, loc: pages of each root sitemap (url) and of all sitemaps it leads to among the documents (url, xml); cycles end.
 
-    A loop over levels with an anti-join against what was visited; most bounds the levels.
+    A loop over levels with an anti-join against what was visited, to the deepest level there is.
     """
     entries = sitemap_urls(documents)
     links = entries.where("kind = 'index'").select(F.col("url").alias("from_url"), F.col("loc").alias("to_url")).distinct()
     visited = roots.select(F.col("url").alias("root"), F.col("url").alias("at")).distinct()
     frontier = visited
-    for _ in range(most):
+    while True:
         step = frontier.join(links, F.col("at") == F.col("from_url")).select("root", F.col("to_url").alias("at")).distinct()
         known = visited.select(F.col("root").alias("kr"), F.col("at").alias("ka"))
         frontier = step.join(known, (F.col("root") == F.col("kr")) & (F.col("at") == F.col("ka")), "left_anti").checkpoint()

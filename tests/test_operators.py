@@ -169,13 +169,17 @@ def test_corpus_files_round_trip(spark, tmp_path):
     from corpusmill.sources import corpus_files
 
     docs = spark.createDataFrame([("x-com", "a", "---\nurl: https://x.com/a\ntitle: A\n---\nbody"), ("x-com", "b", "---\nurl: https://x.com/b\n---\n"), ("x-com", "gone", "no frontmatter"), ("..", "evil", "---\nurl: u\n---\n"), ("x-com", "../up", "---\nurl: u\n---\n")], "domain string, slug string, document string")
-    corpus_files.write_pages(docs, str(tmp_path))
+    with pytest.raises(ValueError):
+        corpus_files.write_pages(docs, str(tmp_path))
+    corpus_files.write_pages(docs.where("slug IN ('a', 'b', 'gone')"), str(tmp_path))
     entries = spark.createDataFrame([("x-com", 1, "a", "https://x.com/a", "é", None, None, 3, 5, 1, ["t"], "active", None), ("x-com", 2, "missing", "https://x.com/m", "B", None, None, None, None, None, None, "active", None)], corpus_files.ENTRY)
     corpus_files.write_manifests(entries, str(tmp_path), "2024-01-02T00:00:00Z")
     assert [r.slug for r in corpus_files.load(spark, str(tmp_path)).collect()] == ["a"]
     assert sorted(r.slug for r in corpus_files.load(spark, str(tmp_path), from_manifest=False).collect()) == ["a", "b"]
     lines = [r.line for r in corpus_files.index_file(entries, "2024-01-02T00:00:00Z").orderBy("line_no").collect()]
     assert lines[0] == "---" and lines[-2:] == ["1. é — https://x.com/a (~5 tokens)", "2. B — https://x.com/m"] and "*Generated: 2024-01-02 | 2 documents | ~5 tokens*" in lines
+    corpus_files.write_index(entries, str(tmp_path), "2024-01-02T00:00:00Z")
+    assert [r.value for r in spark.read.text(str(tmp_path / "index" / "domain=x-com")).collect()] == lines
     with pytest.raises(ValueError):
         corpus_files.safe_name("../x")
 
@@ -200,16 +204,67 @@ def test_fetch_retries_and_reports(spark):
 
 
 def test_streamed_manifest_equals_the_batch(spark, tmp_path):
-    from corpusmill.streaming.manifest import keep_manifest, read_entries, state_path
+    from corpusmill.streaming.manifest import keep_manifest, read_entries, read_state
 
     rng = random.Random(2)
-    rows = [(i, "d", f"s{rng.randrange(5)}", f"https://x.com/{rng.randrange(5)}") for i in range(30)]
+    rows = [(i, f"d{rng.randrange(3)}", f"s{rng.randrange(5)}", f"https://x.com/{rng.randrange(5)}") for i in range(50)] + [(50, None, "s", None)]
     schema = "seq int, domain string, slug string, url string"
-    for k in range(3):
-        spark.createDataFrame(rows[k * 10 : k * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = read_entries(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
-    query = keep_manifest(stream, str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    for k in range(6):
+        spark.createDataFrame(rows[k * 9 : k * 9 + 9], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    kind = spark.createDataFrame([], schema).schema
+    query = keep_manifest(read_entries(spark, str(tmp_path / "in"), kind, 1), str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
-    got = sorted(r.seq for r in spark.read.parquet(state_path(str(tmp_path / "state"), last)).collect())
+    got = sorted(r.seq for r in read_state(spark, str(tmp_path / "state"), 5, kind).collect())
     assert got == sorted(r.seq for r in corpus.survivors(spark.createDataFrame(rows, schema)).collect())
+    for bucket in (tmp_path / "state" / "state").glob("bucket=*"):
+        assert len(list(bucket.glob("version=*"))) <= 2
+
+
+def test_discovery_falls_back(spark):
+    a, b, c, d = "https://a.com", "https://b.com", "https://c.com", "https://d.com"
+    page = lambda *u: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
+    docs = spark.createDataFrame(
+        [(f"{a}/sitemap.xml", "nothing"), (f"{a}/sitemap_index.xml", f"<sitemapindex><sitemap><loc>{a}/deep.xml</loc></sitemap></sitemapindex>"), (f"{a}/deep.xml", page(f"{a}/1/", f"{a}/tag/x", "https://other.com/2")), (f"{a}/sitemap1.xml", page(f"{a}/later"))]
+        + [(f"{b}/robots.txt", f"User-agent: *\nSitemap: {b}/own.xml"), (f"{b}/own.xml", page(f"{b}/3#x")), (f"{c}/sitemap.xml", None)],
+        "url string, text string",
+    )
+    edges = spark.createDataFrame([(x, x, h) for x in (a, c) for h in ("/crawled", "/tag/no", "mailto:x")], "origin string, src string, href string")
+    origins = spark.createDataFrame([(x,) for x in (a, b, c, d, None)], "origin string")
+    graph = discovery.links(edges, by="origin")
+    got = {tuple(r) for r in discovery.discover(origins, docs, graph).collect()}
+    assert got == {(a, f"{a}/1", "sitemap"), (b, f"{b}/3", "sitemap"), (c, c, "crawl"), (c, f"{c}/crawled", "crawl"), (d, d, "crawl")}
+    assert {r.source for r in discovery.discover(origins, docs, graph, fallback_crawl=False).collect()} == {"sitemap"}
+
+
+def test_fetchers(spark):
+    from corpusmill.config import Settings
+    from corpusmill.sources.fetch import dispatch, fetch_texts
+
+    def static(url, given):
+        if "missing" in url:
+            raise OSError("404")
+        return {"html": f"<p>{url}</p>", "final_url": url, "fetch_method": "static"}
+
+    def rendered(url, given):
+        if url.endswith("down"):
+            raise OSError("down")
+        return {"markdown": "# R" if url.endswith("ok") else "", "extracted_title": "T", "final_url": None}
+
+    either = dispatch(rendered, static)
+    assert either("https://x.com/ok", {}) == {"final_url": "https://x.com/ok", "markdown": "# R", "extracted_title": "T", "fetch_method": "firecrawl"}
+    assert [either(f"https://x.com/{k}", {})["fetch_method"] for k in ("down", "empty")] == ["static", "static"] and dispatch(None, static)("u", {})["fetch_method"] == "static"
+    wanted = spark.createDataFrame([("https://x.com/a",), ("https://x.com/a",), ("https://x.com/missing",), ("no url",), (None,)], "url string")
+    assert {tuple(r) for r in fetch_texts(wanted, Settings(), static).collect()} == {("https://x.com/a", "<p>https://x.com/a</p>"), ("https://x.com/missing", None)}
+
+
+def test_pdfs_of_pages(spark):
+    links = spark.createDataFrame([("https://x.com/p", 0, "a.pdf", "A fine label", "https://x.com/a.pdf"), ("https://x.com/p", 1, "b.pdf", "B", "https://x.com/b.pdf")], "page_url string, ord int, href string, label string, pdf_url string")
+    texts = spark.createDataFrame([("https://x.com/a.pdf", "## Head\nFive words are in here now.", 2, None)], "pdf_url string, text string, page_count bigint, error string")
+    pages = spark.createDataFrame([("https://x.com/p", "body\n"), ("https://x.com/q", "other"), (None, None)], "url string, body string")
+    got = {r.url: r for r in pdf.with_pdfs(pages, links, texts, in_body=True).collect()}
+    assert got["https://x.com/p"].body == "body\n## Related PDF extracts\n\n- **A fine label** — https://x.com/a.pdf\n" and [x.slug for x in got["https://x.com/p"].related_pdfs] == ["a"]
+    assert got["https://x.com/q"].related_pdfs is None and got["https://x.com/q"].body == "other"
+    assert {r.related_pdfs for r in pdf.with_pdfs(pages, links, texts, download=False).collect()} == {None}
+    named = pdf.extracts(links, texts).withColumn("source_page_title", F.lit("P")).withColumn("crawled_at", F.lit("2024-01-02T03:04:05Z"))
+    made = pdf.documents_of(named).collect()
+    assert len(made) == 1 and "document_type: pdf-extract" in made[0].document and "\n\n## Document\n\n## Head" in made[0].document and "Extracted text from PDF linked on P." in made[0].document
