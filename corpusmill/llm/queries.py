@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
-
-_MODULES = ("spam", "main_text", "repeated_lines", "lookalike", "residue", "chunking", "packing", "mixing", "language")
+from . import chunking, language, lookalike, main_text, mixing, packing, repeated_lines, residue, spam
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _name in _MODULES:
-    try:
-        _module = importlib.import_module(f"{__package__}.{_name}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"{__package__}.{_name}":
-            raise
-        continue
-    QUERIES |= getattr(_module, "QUERIES", {})
-    ORACLE |= getattr(_module, "ORACLE", {})
+for _module in (spam, main_text, repeated_lines, lookalike, residue, chunking, packing, mixing, language):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE

@@ -47,6 +47,10 @@ def test_pairs(spark, normalizer):
     df = spark.createDataFrame(rows, "page_id bigint, markdown string, title string")
     got = {tuple(r) for r in lookalike.same_look_pairs(lookalike.fingerprints(df, normalizer, "page_id", ["markdown", "title"])).collect()}
     assert got == {(1, 2, "markdown"), (1, 5, "markdown"), (2, 3, "markdown"), (2, 5, "markdown"), (3, 5, "markdown"), (5, 6, "title")}
+    prints = lookalike.fingerprints(df, normalizer, "page_id", ["markdown", "title"])
+    assert {tuple(r) for r in lookalike.same_look_pairs(prints, salted=1).collect()} == got
+    classes = {(r.key, r.field): (r.look, r.spelling, r.n_links) for r in lookalike.look_classes(prints).collect()}
+    assert classes == {(1, "markdown"): (1, 1, 2), (2, "markdown"): (1, 2, 3), (3, "markdown"): (1, 1, 2), (5, "markdown"): (1, 5, 3), (5, "title"): (5, 5, 1), (6, "title"): (5, 6, 1)}
     assert lookalike.same_look_pairs(lookalike.fingerprints(df.limit(0), normalizer, "page_id", ["markdown", "title"])).count() == 0
     kept = {r.page_id: (r.title, r.markdown) for r in lookalike.normalize_columns(df, normalizer, "page_id", ["title", "markdown"]).collect()}
     assert kept[2] == (None, "Release") and kept[4] == ("t", None) and kept[3][0] == ""
@@ -60,7 +64,9 @@ def check_pieces(text, max_tokens, overlap):
     at = 0
     for k, (start, own, end) in enumerate(pieces):
         assert own == at and end > own and chunking.tokens(end - start) <= max_tokens
-        assert own - start == (min(overlap * 4, own - pieces[k - 1][1]) if k else 0)
+        most = min(overlap * 4, own - pieces[k - 1][1]) if k else 0
+        if own - start != most:  # moved to a word start: back where there is room, else on
+            assert text[start - 1].isspace() and pieces[k - 1][1] < start and (own - start > most or not any(c in " \n" for c in text[own - most : start - 1]))
         at = end
     assert at == len(text)
     return pieces
@@ -72,6 +78,25 @@ def test_pieces_cover_the_text_within_the_limit(parts, most, lap):
     check_pieces("".join(parts), most, lap)
 
 
+@given(st.lists(st.sampled_from(["word ", "A sentence. ", "\n", "\n\n", "x" * 50, "```\n", "| a | b |\n", "文。", "é🙂"]), min_size=1, max_size=120), st.integers(24, 60), st.integers(0, 7))
+@settings(max_examples=80, deadline=None)
+def test_pieces_in_tokens_cover_the_text_within_the_limit(parts, most, lap):
+    text, size = "".join(parts), lambda x: len(tokens.encoding().encode_ordinary(x))
+    pieces = chunking.split_page(text, most, lap, tokens.encoding())
+    assert "".join(text[own:end] for _, own, end in pieces) == text
+    for k, (start, own, end) in enumerate(pieces):
+        assert end > own >= start and size(text[start:end]) <= most and (k == 0 or start >= pieces[k - 1][1])
+
+
+def test_page_pieces(spark):
+    df = spark.createDataFrame([(1, "A sentence of words. " * 400, "x"), (2, None, "x"), (3, "", "x"), (4, "short", "x"), (5, "é" * 3000, "x")], "page_id int, markdown string, text string")
+    got = {}
+    for r in chunking.split_pages(df, 256, 32).collect():
+        got.setdefault(r.page_id, []).append((r.piece_no, r.overlap_chars, r.n_tokens, r.text))
+    assert set(got) == {1, 5} and "".join(t[o:] for _, o, _, t in sorted(got[1])) == "A sentence of words. " * 400
+    assert max(n for v in got.values() for _, _, n, _ in v) <= 256 and all(o for k, o, _, _ in got[1] if k)
+
+
 def test_cuts_are_natural():
     paragraphs = ["One sentence here. " * 6 + "End." for _ in range(8)]
     text = "\n\n".join(paragraphs)
