@@ -60,13 +60,6 @@ def number_rows(rows: DataFrame, by: str, order: str, block: int = 65_536) -> Da
     return placed.withColumn("row_no", (F.col("_before") + here).cast("bigint")).drop("_block", "_by", "_b", "_before")
 
 
-def latest(rows: DataFrame, keys: Sequence[str], order: str, first: bool = False) -> DataFrame:
-    """One row for each combination of keys: the last (or first) in order. Aggregates before the shuffle, so hot keys do not gather their rows."""
-    pick = F.min_by if first else F.max_by
-    whole = F.struct(*(F.col(c) for c in rows.columns))
-    return rows.groupBy(*keys).agg(pick(whole, F.col(order)).alias("_row")).select("_row.*")
-
-
 def _saved_by(saved: DataFrame, key: str, order: str, pick) -> DataFrame:
     """One entry (slug, title) of each domain and key ('url' or 'slug'), the first or last in order; entries without the key give none."""
     entries = saved.select(F.col("domain").alias("_d"), F.col(order).alias("_o"), urls.normalize_persisted("url").alias("_url"), F.col("slug").alias("_slug"), F.col("title").alias("_title"))
@@ -135,6 +128,31 @@ def eta_text(seconds: Column) -> Column:
     return F.when(seconds.isNull() | (seconds <= 0) | F.isnan(seconds), "—").when(seconds < 60, F.concat(F.ceil(seconds).cast("string"), F.lit("s"))).otherwise(whole)
 
 
+def pages_per_second(session: DataFrame, started: Column, now: Column, by: Sequence[str] = ()) -> DataFrame:
+    """by, rate, seconds_left of a running crawl: pages done or failed a second since it started, and the time that the remaining selected pages take at that rate; null before the first page."""
+    counted = progress(session, by)
+    processed, total = F.col("n_done") + F.col("n_error"), F.when(F.col("n_selected") > 0, F.col("n_selected")).otherwise(F.col("n_pages"))
+    spent = F.unix_millis(now) - F.unix_millis(started)
+    rate = F.when((processed > 0) & (spent > 0), processed / (spent / 1000))
+    return counted.withColumn("rate", rate).withColumn("seconds_left", F.greatest(total - processed, F.lit(0)) / F.col("rate")).select(*by, "rate", "seconds_left")
+
+
+def save_counts(session: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, n_saved, n_failed, any_saved, all_done: complete pages, failed ones, whether there is anything to save and whether every selected page is done."""
+    complete, wanted = is_complete(F.col("status"), F.col("markdown"), F.col("slug")), F.coalesce(F.col("selected"), F.lit(False))
+    return session.groupBy(*by).agg(
+        F.count_if(complete).alias("n_saved"),
+        F.count_if(F.coalesce(F.col("status") == "error", F.lit(False))).alias("n_failed"),
+        F.coalesce(F.bool_or(complete), F.lit(False)).alias("any_saved"),
+        F.coalesce(F.bool_and(F.coalesce(F.col("status") == "done", F.lit(False)) | ~wanted), F.lit(False)).alias("all_done"),
+    )
+
+
+def persistable(session: DataFrame) -> DataFrame:
+    """A session as it is stored: without the texts, which the saved files have."""
+    return session.drop("markdown", "linked_pdfs")
+
+
 def scrape_summary(pages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean score, low scores (below 50), rendered fetches and total of pages (status, completeness_score, fetch_method) that are done and scored."""
     scored = pages.where((F.col("status") == "done") & F.col("completeness_score").isNotNull())

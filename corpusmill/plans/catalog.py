@@ -303,6 +303,33 @@ def completed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("host").agg(F.count_if(corpus.is_complete(F.col("status"), F.col("markdown"), F.col("slug"))).alias("n_complete"), F.count_if(waits).alias("n_waiting"))
 
 
+@query
+def save_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be saved of each host, what failed, and whether all that was selected is done."""
+    return corpus.save_counts(read(spark, sf_dir, "discovered_pages").withColumn("host", urls.host("url")), ["host"])
+
+
+@query
+def stored_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session without its texts."""
+    return corpus.persistable(read(spark, sf_dir, "discovered_pages")).select("page_id", "id", "url", "title", "selected", "status", "error", "slug")
+
+
+@query
+def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest entries of the documents that the fetches make."""
+    made = pipeline.manifest(pipeline.corpus_pages(read(spark, sf_dir, "fetched_pages")))
+    return made.select("seq", "domain", "slug", "url", "scraped_at", F.array_join("tags", ",").alias("tags"), "status", "document_type", (F.length("content_hash") == 64).alias("hashed"), (F.col("token_estimate") * 4 >= F.col("word_count")).alias("estimated"))
+
+
+@query
+def persisted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of saved pages, from the score and grade in their files and the counts of the text."""
+    p = pages(spark, sf_dir).select("page_id", "markdown", F.col("completeness_report.completeness_score").cast("double").alias("completeness_score"), F.col("completeness_report.grade").alias("completeness_grade"), "fetch_method")
+    made = p.select("page_id", documents.persisted_report(p, F.col("markdown")).alias("r")).where("r IS NOT NULL")
+    return made.select("page_id", "r.fetch_method", F.col("r.content_char_count").cast("bigint").alias("chars"), F.col("r.content_word_count").alias("words"), F.col("r.heading_count").alias("headings"), F.col("r.completeness_score").cast("bigint").alias("score"), "r.grade")
+
+
 @query
 def scrape_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 50 crawls (a domain's writes of one day) with their pages."""

@@ -209,6 +209,12 @@ _CHOSEN = f"""newest AS (SELECT arg_max(struct_pack(page_id := page_id, fetch_id
 
 ORACLE = {
     "corpus_documents": f"WITH {_CHOSEN} SELECT page_id, fetch_id, domain, slug, url, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS crawled_at, {_TAGS.format(tags=tags('url'))} AS tags FROM chosen",
+    "corpus_manifest": f"WITH {_CHOSEN} SELECT fetch_id AS seq, domain, slug, url, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS scraped_at, {_TAGS.format(tags=tags('url'))} AS tags, 'active' AS status, 'web-page' AS document_type, true AS hashed, true AS estimated FROM chosen",
+    "save_counts": f"""SELECT {host('url')} AS host, count(*) FILTER (status = 'done' AND markdown <> '' AND slug <> '') AS n_saved, count(*) FILTER (status = 'error') AS n_failed, count(*) FILTER (status = 'done' AND markdown <> '' AND slug <> '') > 0 AS any_saved,
+ count(*) FILTER (selected AND status IS DISTINCT FROM 'done') = 0 AS all_done FROM discovered_pages GROUP BY 1""",
+    "stored_session": "SELECT page_id, id, url, title, selected, status, error, slug FROM discovered_pages",
+    "persisted_reports": f"""SELECT page_id, CASE WHEN completeness_report.fetch_method = 'firecrawl' THEN 'firecrawl' ELSE 'static' END AS fetch_method, length(markdown)::BIGINT AS chars, {n_words('markdown')}::BIGINT AS words, len(regexp_extract_all(markdown, '(?m)^#{{1,6}}{W}+'))::BIGINT AS headings,
+ completeness_report.completeness_score::BIGINT AS score, coalesce(completeness_report.grade, 'fair') AS grade FROM discovered_pages WHERE markdown IS NOT NULL AND completeness_report.completeness_score IS NOT NULL""",
     "page_titles": f"SELECT fetch_id, coalesce(nullif(extracted_title, ''), {tag_text('title')}, {meta('og:title')}, {tag_text('h1')}, final_url) AS title FROM fetched_pages",
     "page_heads": f"""SELECT fetch_id, CASE WHEN length(d) > 20 THEN substr(regexp_replace(d, '{W}+', ' ', 'g'), 1, 320) END AS description, NULL::VARCHAR AS last_updated
  FROM (SELECT fetch_id, coalesce({meta('description')}, {meta('og:description')}, {meta('twitter:description')}) AS d FROM fetched_pages)""",

@@ -21,6 +21,16 @@ _BLOCK = frozenset("address article aside blockquote body dd details div dl dt f
 # Link texts of controls that lead nowhere.
 _CONTROLS = re.compile(r"(?:show models?|shop models?|previous|next|watch the video|clear all|clear filters?|reset filters?|apply|cancel|close)", re.I)
 _BLANK = re.compile(r"[ \t\r\n\f\xa0]+")
+# What is escaped in a text - marks anywhere, and marks at its start that would open a list, heading, quote, rule or fence.
+_MARKS = re.compile(r"[\\*`\[\]_]")
+_OPENING = re.compile(r"^(?:-|\+ |=+|#{1,6} |~~~|>)")
+_NUMBERED = re.compile(r"^(\d+)\. ")
+
+
+def escaped(text: str) -> str:
+    """Text in which nothing reads as markup."""
+    told = _MARKS.sub(r"\\\g<0>", text)
+    return _NUMBERED.sub(r"\1\\. ", _OPENING.sub(r"\\\g<0>", told))
 
 
 class _Node:
@@ -33,10 +43,11 @@ class _Node:
 class _Markdown(HTMLParser):
     """Builds markdown while reading: each open element collects its own pieces, and closing it renders them into its parent."""
 
-    def __init__(self) -> None:
+    def __init__(self, escape: bool) -> None:
         super().__init__(convert_charrefs=True)
         self.stack = [_Node("root", {})]
         self.skip = 0
+        self.escape = escape
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         attrs = {k: v or "" for k, v in attrs}
@@ -60,6 +71,8 @@ class _Markdown(HTMLParser):
                 self.stack[-1].out.append(f"\n\n*[Image: {alt}]*\n\n")
         elif tag not in _VOID:
             node = _Node(tag, attrs)
+            if tag == "ol" and re.fullmatch(r"\d{1,9}", attrs.get("start", "").strip()):
+                node.number = int(attrs["start"]) - 1
             if tag == "li":
                 parent = next((n for n in reversed(self.stack) if n.tag in ("ul", "ol")), None)
                 if parent is not None:
@@ -105,6 +118,9 @@ class _Markdown(HTMLParser):
             self.stack[-1].out.append(data)
         else:
             flat = _BLANK.sub(" ", data)
+            if self.escape and not any(n.tag == "code" for n in self.stack):
+                lead = flat[: len(flat) - len(flat.lstrip(" "))]
+                flat = lead + escaped(flat[len(lead) :])
             if flat != " " or (self.stack[-1].out and not self.stack[-1].out[-1].endswith(("\n", " "))):
                 self.stack[-1].out.append(flat)
 
@@ -186,9 +202,9 @@ def _render(node: _Node, inner: str, stack: list[_Node]) -> str:
     return inner
 
 
-def html_to_markdown(html: str) -> str:
-    """Markdown of an HTML document: atx headings, fenced code, - bullets, pipe tables; head, scripts and styles leave nothing."""
-    reader = _Markdown()
+def html_to_markdown(html: str, escape: bool = True) -> str:
+    """Markdown of an HTML document: atx headings, fenced code, - bullets, pipe tables; head, scripts and styles leave nothing. Marks in texts are escaped."""
+    reader = _Markdown(escape)
     reader.feed(html.replace("\xa0", " "))
     return reader.finish()
 
@@ -251,7 +267,7 @@ _PARSED = "struct<" + ",".join(f"{f}:string" for f in _FIELDS) + ",links:array<s
 _ARROW = pa.struct([*((f, pa.string()) for f in _FIELDS), ("links", pa.list_(_LINK)), ("markdown", pa.string())])
 
 
-def _read(html: str, markdown: bool) -> dict:
+def _read(html: str, markdown: bool, escape: bool = True) -> dict:
     head = _Head()
     head.feed(html)
     head.close()
@@ -261,15 +277,15 @@ def _read(html: str, markdown: bool) -> dict:
     return {
         "title": whole(head.title), "og_title": m.get("og:title"), "h1": whole(head.h1), "description": m.get("description"), "og_description": m.get("og:description"),
         "twitter_description": m.get("twitter:description"), "modified_time": m.get("article:modified_time"), "updated_time": m.get("og:updated_time"), "last_modified": m.get("last-modified"),
-        "dcterms_modified": m.get("dcterms.modified"), "time": head.time, "links": [{"tag": t, "href": h, "label": words(x)} for t, h, x in head.links], "markdown": html_to_markdown(html) if markdown else None,
+        "dcterms_modified": m.get("dcterms.modified"), "time": head.time, "links": [{"tag": t, "href": h, "label": words(x)} for t, h, x in head.links], "markdown": html_to_markdown(html, escape) if markdown else None,
     }
 
 
-def parse(pages: DataFrame, columns: list[str], html: str = "html", markdown: bool = True) -> DataFrame:
-    """The columns and `page`, a struct of the parsed HTML; null HTML gives a null struct. markdown=False leaves the conversion out. Only the HTML leaves the JVM."""
+def parse(pages: DataFrame, columns: list[str], html: str = "html", markdown: bool = True, escape: bool = True) -> DataFrame:
+    """The columns and `page`, a struct of the parsed HTML; null HTML gives a null struct. markdown=False leaves the conversion out, escape=False the escapes of marks in texts. Only the HTML leaves the JVM."""
 
     def run(texts: pa.Array) -> pa.Array:
-        parts = [pa.array([None if h is None else _read(h, markdown) for h in texts.slice(k, 500).to_pylist()], _ARROW) for k in range(0, len(texts), 500)]
+        parts = [pa.array([None if h is None else _read(h, markdown, escape) for h in texts.slice(k, 500).to_pylist()], _ARROW) for k in range(0, len(texts), 500)]
         return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -54,6 +54,10 @@ def test_progress_and_eta(spark):
     rows = spark.createDataFrame([("done", True), ("done", False), ("error", None), (None, None)], "status string, selected boolean")
     r = corpus.progress(rows).first()
     assert (r.n_pages, r.n_selected, r.n_done, r.n_error, r.n_remaining, r.progress) == (4, 1, 2, 1, 2, 300)
+    clock = rows.select("*", F.lit(1).alias("x"))
+    pace = corpus.pages_per_second(clock, F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(6))).first()
+    assert (pace.rate, pace.seconds_left) == (0.5, 0.0)
+    assert corpus.pages_per_second(clock.where("status IS NULL"), F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(6))).first().seconds_left is None
     eta = spark.createDataFrame([(0.0,), (12.2,), (125.0,), (None,)], "s double").select(corpus.eta_text(F.col("s")).alias("t"))
     assert [x.t for x in eta.collect()] == ["—", "13s", "2m 5s", "—"]
 
@@ -113,6 +117,8 @@ def test_html_to_markdown():
     assert html_to_markdown("<h1>T</h1><p>a <b>b</b> <i>c</i><p>d<ul><li>x<li>y</ul><pre>k\n l</pre>") == "# T\n\na **b** *c*\n\nd\n\n- x\n- y\n\n```\nk\n l\n```"
     assert html_to_markdown("<a href='/p'>go</a> <a href='#x'>Close</a><img src='i.png' alt='A'><script>no()</script>") == "[go](/p)\n\n![A](i.png)"
     assert html_to_markdown("<table><tr><th>a</th><th>b</th></tr><tr><td>1<td>2</table>") == "| a | b |\n|---|---|\n| 1 | 2 |"
+    assert html_to_markdown("<p>a*b_c [x]</p><p>1. x</p><p># x</p><p>- x</p><p>&gt; q</p><ol start='3'><li>a<li>b</ol><p><code>a*b</code></p>") == "a\\*b\\_c \\[x\\]\n\n1\\. x\n\n\\# x\n\n\\- x\n\n\\> q\n\n3. a\n4. b\n\n`a*b`"
+    assert html_to_markdown("<p>a*b [x]</p>", escape=False) == "a*b [x]"
     assert html_to_markdown("") == "" and html_to_markdown("<p>unclosed <div>x") == "unclosed\n\nx"
 
 
