@@ -172,9 +172,9 @@ def letters(text: str) -> int:
 
 
 def fit(samples: DataFrame, size: int = PROFILE) -> Profiles:
-    """Profiles of (lang, text) samples; rows with a null are passed over. At most SAMPLE_ROWS rows of SAMPLE_CHARS characters are used."""
+    """Profiles of (lang, text) samples; rows with a null are passed over. At most SAMPLE_ROWS rows of SAMPLE_CHARS characters are used, chosen by their hash."""
     rows = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return Profiles(sorted((r.lang, r.text) for r in rows.limit(SAMPLE_ROWS).collect()), size)
+    return Profiles(sorted((r.lang, r.text) for r in rows.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(SAMPLE_ROWS).collect()), size)
 
 
 _SCHEMA = "doc_id bigint, label string, blocks array<struct<block_no:bigint,lang:string,confidence:double,letters:bigint,prose:boolean>>"

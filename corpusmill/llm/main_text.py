@@ -78,7 +78,7 @@ def p2_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_pages(fetches: DataFrame) -> DataFrame:
     """page_id (the fetch's id), markdown, title, host of fetched HTML, as a table in the shared folder, as several passes read it and parsing is the dear part."""
-    made = html.parse(fetches.where(F.col("html").isNotNull()), ["fetch_id", "url"])
+    made = html.parse(fetches.where(F.col("html").isNotNull()), ["fetch_id", "url"], escape=False)
     rows = made.select(F.col("fetch_id").alias("page_id"), F.col("page.markdown").alias("markdown"), F.col("page.title").alias("title"), "url")
     return stored(pages_with_host(rows, None, ["page_id", "markdown", "title"]))
 

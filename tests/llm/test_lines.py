@@ -89,6 +89,17 @@ def test_arrow_words_are_the_words_of_the_lines(texts):
     assert {(r["a"], r["b"]): r["n"] for r in counted.batch().to_pylist()} == dict(single | both)
 
 
+def test_the_counts_decide(spark, monkeypatch):
+    """With one PMI for every pair no listing and no repeated collocation is found."""
+    soup = ", ".join(["cheap rack server", "server sale", "low cost nas", "buy gpu server"][(i * i) % 4] for i in range(200))
+    spoken = " ".join("Our server sale is the best server sale for every server sale buyer." for _ in range(20))
+    df = site(spark, [(20, soup, "t", "b.example", False), (22, f"# H\n\n{spoken}", "t", "b.example", False)])
+    stuffed = lambda: {r.page_id for r in spam.spam_pages(df, exact=False).where(spam.F.col("spam_share") > 0.5).collect()}
+    assert stuffed() == {20, 22}
+    monkeypatch.setattr(spam, "coherence", lambda n_words, n_pairs: spam.F.sum("k") * 99.0)
+    assert stuffed() == set()
+
+
 def test_coherence_by_hand(spark):
     rows = [("x", 2, 10, 2, 2, 2, 12, 20, 30), ("x", 5, 10, 5, 5, 5, 5, 9, None), ("x", 1, 10, 1, 1, 1, None, 4, 4)]
     df = spark.createDataFrame(rows, "g string, k bigint, n_pairs bigint, own bigint, own_a bigint, own_b bigint, n bigint, n_a bigint, n_b bigint")
