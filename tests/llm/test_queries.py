@@ -19,6 +19,5 @@ def test_query_runs(name, spark, sf_dir):
     df = queries.QUERIES[name](spark, sf_dir)
     if name in COLUMNS:
         assert df.columns == COLUMNS[name]
-        rows = df.collect()
-        assert len(rows) == len(set(rows))
-    assert df.count() >= 0
+    rows = df.select([c for c, kind in df.dtypes if not kind.startswith("array")]).collect()
+    assert rows and len(rows) == len(set(rows))
